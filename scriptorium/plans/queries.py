@@ -21,6 +21,7 @@ from ..operators import retrieve as rt
 from ..sources import articles as src
 from ..sources import config as cfg
 from ..sources import tables
+from ..session import materialize
 from . import pipeline as pl
 
 TOP_K = cfg.RETRIEVAL_TOP_K
@@ -36,6 +37,11 @@ def _articles(spark, sf):
     return tables.read_articles(spark, sf)
 
 
+def _stored_articles(spark, sf):
+    """The corpus as a stored table: computed once per query, then read back."""
+    return materialize(tables.read_articles(spark, sf), "articles")
+
+
 def _all_requests(articles: DataFrame) -> DataFrame:
     return articles.select(F.col("pmcid").alias("request_id"))
 
@@ -127,22 +133,25 @@ def _corpus_given(spark, sf, articles):
 
 
 def q14_supporting_docs(spark, sf):
-    arts = _articles(spark, sf)
+    return _given_docs(spark, sf, _stored_articles(spark, sf)).select(
+        "request_id", "corpus_id", "score", "retrieval_rank", "pmcid")
+
+
+def _given_docs(spark, sf, arts):
     corpus = _corpus_given(spark, sf, arts)
     req = corpus.join(arts.select("corpus_id", "pmcid"), "corpus_id").select(
-        F.col("pmcid").alias("request_id"), "embedding")
-    hits = rt.retrieve_top_k(req, corpus, TOP_K).withColumnRenamed("rank", "retrieval_rank")
-    docs = rt.exclude_self(rt.lookup_hits(hits, arts))
-    return docs.select("request_id", "corpus_id", "score", "retrieval_rank", "pmcid")
+        F.col("pmcid").alias("request_id"), F.col("corpus_id").alias("request_cid"), "embedding")
+    hits = rt.retrieve_top_k(req.select("request_id", "embedding"), corpus, TOP_K)
+    hits = hits.withColumnRenamed("rank", "retrieval_rank")
+    docs = rt.exclude_self(rt.lookup_hits(hits, arts.select("corpus_id", "pmcid")))
+    return docs.join(req.select("request_id", "request_cid"), "request_id")
 
 
 def _scored_given(spark, sf):
-    arts = _articles(spark, sf)
-    docs = q14_supporting_docs(spark, sf).select("request_id", "corpus_id", "retrieval_rank")
-    texts = arts.select("corpus_id", tx.article_text().alias("doc_text"))
-    qtexts = arts.select(F.col("pmcid").alias("request_id"), tx.article_text().alias("query_text"))
-    pairs = docs.join(texts, "corpus_id").join(qtexts, "request_id")
-    return rr.jaccard_scorer(pairs, "query_text", "doc_text")
+    arts = _stored_articles(spark, sf)
+    docs = _given_docs(spark, sf, arts).select("request_id", "request_cid", "corpus_id",
+                                                "retrieval_rank")
+    return rr.score_pairs(docs, arts)
 
 
 def q15_score_pairs(spark, sf):
@@ -160,18 +169,18 @@ def _hashed_corpus(arts):
 
 
 def q17_retrieve_and_rerank(spark, sf):
-    arts = _articles(spark, sf)
+    arts = _stored_articles(spark, sf)
     return pl.retrieve_and_rerank(_all_requests(arts), arts, _hashed_corpus(arts))
 
 
 def q18_assemble_context(spark, sf):
-    arts = _articles(spark, sf)
+    arts = _stored_articles(spark, sf)
     reranked = pl.retrieve_and_rerank(_all_requests(arts), arts, _hashed_corpus(arts))
     return pr.assemble_context(_all_requests(arts), reranked, arts)
 
 
 def q19_render_prompt(spark, sf):
-    arts = _articles(spark, sf)
+    arts = _stored_articles(spark, sf)
     reqs = _all_requests(arts)
     reranked = pl.retrieve_and_rerank(reqs, arts, _hashed_corpus(arts))
     return pl.build_prompts(reqs, arts, reranked)

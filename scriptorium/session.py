@@ -72,3 +72,14 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads files instead of recomputing),
+    and later scans keep column pruning and file statistics.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

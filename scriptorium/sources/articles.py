@@ -154,8 +154,8 @@ def scan_articles(spark: SparkSession, source: str, materialize_to: str | None =
     parse_documents(read_xml_files(spark, source)).write.mode("overwrite").parquet(runs_path)
     runs = spark.read.schema(RUNS_SCHEMA).parquet(runs_path)
     done = finish_runs(runs)
-    good = done.filter(F.col("reason").isNull())
-    rejects = done.filter(F.col("reason").isNotNull()).select("path", "reason")
+    good = done.filter(tables.held(F.col("reason").isNull()))
+    rejects = done.filter(tables.held(F.col("reason").isNotNull())).select("path", "reason")
     articles = assign_ids(good, ["pmcid", "path"]).select(*CORPUS_SCHEMA.fieldNames())
     return ScanResult(runs=runs, articles=articles, rejects=rejects)
 

@@ -58,7 +58,19 @@ def require_fields(articles: DataFrame) -> DataFrame:
     for f in tx.ARTICLE_FIELDS:
         c = tx.is_present(f)
         cond = c if cond is None else cond & c
-    return articles.filter(cond)
+    return articles.filter(held(cond))
+
+
+def held(condition):
+    """A filter condition that stays where it is written.
+
+    Catalyst pushes a deterministic filter through projections and
+    repartitions, re-evaluating the projected expressions inside it, possibly
+    in a single scan task before ``spread``. Wrapping the condition in a
+    non-deterministic guard keeps it above the projection, reading the
+    already computed columns.
+    """
+    return F.when(F.spark_partition_id() >= 0, condition)
 
 
 def articles_from_documents(documents: DataFrame) -> DataFrame:
