@@ -33,14 +33,16 @@ def article_runs_from_documents(documents: DataFrame) -> DataFrame:
     whole text is used. Output: ``corpus_id, pmcid, title, abstract, body_text``
     as ARRAY<STRING> runs (pmcid a one-element list).
     """
-    lines = F.split(F.col("text"), "\n", -1)
-    n = F.size(lines)
+    # At most three parts: line 1, line 2, and all later lines as one run
+    # (join_runs turns its inner newlines into the joining spaces).
+    parts = F.split(F.col("text"), "\n", 3)
+    n = F.size(parts)
     return documents.select(
         F.col("doc_id").cast("long").alias("corpus_id"),
         F.array(F.concat(F.lit("PMC"), F.col("doc_id").cast("string"))).alias("pmcid"),
-        F.slice(lines, 1, 1).alias("title"),
-        F.slice(lines, 2, 1).alias("abstract"),
-        F.slice(lines, 3, F.greatest(n - 2, F.lit(0))).alias("body_text"),
+        F.slice(parts, 1, 1).alias("title"),
+        F.slice(parts, 2, 1).alias("abstract"),
+        F.slice(parts, 3, F.greatest(n - 2, F.lit(0))).alias("body_text"),
     )
 
 
