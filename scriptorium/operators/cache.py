@@ -48,10 +48,13 @@ class SummaryStore:
                 out.append(int(name.split("=", 1)[1]))
         return sorted(out)
 
+    def _raw_schema(self) -> T.StructType:
+        return T.StructType(list(self.schema.fields) + [T.StructField("batch", T.LongType())])
+
     def raw(self) -> DataFrame:
         if not self._batches():
-            return self.spark.createDataFrame([], self.schema.add("batch", T.LongType()))
-        return self.spark.read.schema(self.schema.add("batch", T.LongType())).parquet(self.path)
+            return self.spark.createDataFrame([], self._raw_schema())
+        return self.spark.read.schema(self._raw_schema()).parquet(self.path)
 
     def keys(self) -> DataFrame:
         """Stored keys only: reads one column, enough for hit / miss tests."""

@@ -1,0 +1,111 @@
+"""Re-rank ties, prompts, cache and the flagship entry."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.operators import answers as ans
+from scriptorium.operators import cache as ch
+from scriptorium.operators import prompts as pr
+from scriptorium.operators import rerank as rr
+from scriptorium.plans import pipeline as pl
+from scriptorium.sources import config as cfg
+
+from conftest import SF001
+
+
+def test_rerank_ties_keep_retrieval_order(spark):
+    df = spark.createDataFrame(
+        [("r", 10, 1, 0.5), ("r", 11, 2, 0.9), ("r", 12, 3, 0.5), ("r", 13, 4, 0.5)],
+        "request_id string, corpus_id long, retrieval_rank int, rerank_score double")
+    rows = rr.rerank_top_k(df, 3).orderBy("rerank_rank").collect()
+    assert [r["corpus_id"] for r in rows] == [11, 10, 12]
+    assert len(rr.rerank_top_k(df, 10).collect()) == 4
+
+
+def test_jaccard_scorer(spark):
+    sc = rr.jaccard_scorer
+    df = spark.createDataFrame([("A b a", "b C"), ("", "")], "x string, y string")
+    out = df.select(sc.score(sc.features(F.col("x")), sc.features(F.col("y"))).alias("s")).collect()
+    assert out[0]["s"] == pytest.approx(1 / 3)
+    assert out[1]["s"] == 0.0
+
+
+def test_check_k():
+    with pytest.raises(ValueError):
+        pl.check_k(0, 3)
+    with pytest.raises(ValueError):
+        pl.check_k(10, 0)
+
+
+def test_render_prompts_literal_braces_and_audiences(spark):
+    papers = spark.createDataFrame(
+        [("PMC1", "paper {supporting_docs} {paper}", "")], "request_id string, paper string, supporting_docs string")
+    rows = pr.render_prompts(papers).collect()
+    assert sorted(r["audience"] for r in rows) == sorted(cfg.AUDIENCES)
+    for r in rows:
+        assert "paper {supporting_docs} {paper}" in r["text"]
+        assert r["text"].endswith("Supporting documents:\n\n")
+        assert cfg.AUDIENCES[r["audience"]] in r["text"]
+        assert r["system"] == cfg.PROMPT_SYSTEM
+    expected = cfg.PROMPT_TEMPLATE.format(audience=cfg.AUDIENCES["basic"], max_words=300,
+                                          paper="paper {supporting_docs} {paper}", supporting_docs="")
+    assert [r["text"] for r in rows if r["audience"] == "basic"] == [expected]
+
+
+def test_context_empty_when_no_docs(spark):
+    reqs = spark.createDataFrame([("PMC1",)], "request_id string")
+    reranked = spark.createDataFrame([], "request_id string, corpus_id long, rerank_rank int")
+    arts = spark.createDataFrame([], "corpus_id long, pmcid string, title string, abstract string, body_text string")
+    assert pr.assemble_context(reqs, reranked, arts).collect()[0]["supporting_docs"] == ""
+
+
+def test_pivot_roundtrip(spark):
+    long = spark.createDataFrame([("P", k, f"s-{k}") for k in cfg.AUDIENCES],
+                                 "request_id string, audience string, summary string")
+    wide = ans.pivot_answers(long)
+    assert wide.columns == ["pmc_id", "basic_summary", "college_summary", "professional_summary"]
+    back = sorted(tuple(r) for r in ans.unpivot_answers(wide).collect())
+    assert back == sorted(tuple(r) for r in long.collect())
+
+
+def test_plan_requests_statuses(spark):
+    reqs = spark.createDataFrame([("",), (None,), ("PMC1",), ("PMC1",), ("PMC2",), ("PMC9",), (" ",)],
+                                 "request_id string")
+    stored = spark.createDataFrame([("PMC2",)], "pmc_id string")
+    arts = spark.createDataFrame([(1, "PMC1"), (2, "PMC2")], "corpus_id long, pmcid string")
+    got = dict((r["request_id"], r["status"]) for r in ch.plan_requests(reqs, stored, arts).collect())
+    assert got == {"PMC1": "compute", "PMC2": "cached", "PMC9": "unknown", " ": "unknown"}
+
+
+def test_get_or_create_computes_misses_once(spark, tmp_path):
+    from scriptorium.sources import tables
+    from scriptorium.operators import encode as enc
+
+    arts = tables.read_articles(spark, SF001)
+    emb = enc.build_corpus_embeddings(arts)
+    ids = [r["pmcid"] for r in arts.orderBy("corpus_id").limit(3).collect()]
+    store = ch.SummaryStore(spark, str(tmp_path / "store"))
+    calls = []
+
+    def compute(todo):
+        calls.append(sorted(r["request_id"] for r in todo.collect()))
+        return pl.summarize(todo, arts, emb)
+
+    reqs = spark.createDataFrame([(ids[0],), (ids[1],), (ids[1],), ("",), ("PMC-none",)], "request_id string")
+    out = ch.get_or_create(store, reqs, arts, compute)
+    assert sorted(r["pmc_id"] for r in out["answers"].collect()) == sorted(ids[:2])
+    assert [r["request_id"] for r in out["unknown"].collect()] == ["PMC-none"]
+    reqs2 = spark.createDataFrame([(ids[1],), (ids[2],)], "request_id string")
+    out2 = ch.get_or_create(store, reqs2, arts, compute)
+    assert calls == [sorted(ids[:2]), [ids[2]]]  # cached id not recomputed
+    assert sorted(r["pmc_id"] for r in out2["answers"].collect()) == sorted(ids[1:3])
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+
+    df = E.entry(spark)
+    rows = df.collect()
+    assert rows and set(df.columns) == {"request_id", "corpus_id", "retrieval_rank", "rerank_score",
+                                        "rerank_rank"}
+    assert set(E.oracle_sql()) <= set(E.queries())
