@@ -149,8 +149,8 @@ def _given_docs(spark, sf, arts):
 
 def _scored_given(spark, sf):
     arts = _stored_articles(spark, sf)
-    docs = _given_docs(spark, sf, arts).select("request_id", "request_cid", "corpus_id",
-                                                "retrieval_rank")
+    docs = materialize(_given_docs(spark, sf, arts).select(
+        "request_id", "request_cid", "corpus_id", "retrieval_rank"), "hits")
     return rr.score_pairs(docs, arts)
 
 
