@@ -2,7 +2,10 @@
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 Each query is run to completion with the ``noop`` sink (full execution, no
-result sent to the driver). Times are wall-clock seconds per query.
+result sent to the driver). Times are wall-clock seconds per query, measured
+in steady state: every headline query first runs once on the smallest data
+set next to BENCH_SF_DIR (sf0.001 when present), so JIT compilation and
+Python worker start-up are not charged to the first query that needs them.
 """
 
 from __future__ import annotations
@@ -39,8 +42,12 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", app_name="scriptorium-bench", shuffle_partitions=cpus,
                       extra={"spark.driver.memory": "16g"})
     names = sys.argv[1:] or HEADLINE
-    # Warm the JVM and Python workers once, outside the timings.
-    Q.QUERIES["q13_retrieve_top_k"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # Warm the JVM and Python workers once per query, outside the timings.
+    warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    if not os.path.isdir(warm_dir):
+        warm_dir = sf_dir
+    for name in names:
+        Q.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         t0 = time.perf_counter()
