@@ -175,15 +175,16 @@ def q17_retrieve_and_rerank(spark, sf):
 
 def q18_assemble_context(spark, sf):
     arts = _stored_articles(spark, sf)
-    reranked = pl.retrieve_and_rerank(_all_requests(arts), arts, _hashed_corpus(arts))
-    return pr.assemble_context(_all_requests(arts), reranked, arts)
+    reqs = _all_requests(arts)
+    reranked, texts = pl.retrieve_and_rerank_with_texts(reqs, arts, _hashed_corpus(arts))
+    return pr.assemble_context(reqs, reranked, texts)
 
 
 def q19_render_prompt(spark, sf):
     arts = _stored_articles(spark, sf)
     reqs = _all_requests(arts)
-    reranked = pl.retrieve_and_rerank(reqs, arts, _hashed_corpus(arts))
-    return pl.build_prompts(reqs, arts, reranked)
+    reranked, texts = pl.retrieve_and_rerank_with_texts(reqs, arts, _hashed_corpus(arts))
+    return pl.build_prompts(reqs, texts, reranked)
 
 
 def q20_attach_answers(spark, sf):
