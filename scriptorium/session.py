@@ -7,8 +7,8 @@ cluster. ``get_spark`` only fills in what is unset, which is what tests and
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -62,19 +62,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
+    """A fresh path below the shared checkpoint folder for an intermediate table.
 
-
-_counter = _count()
+    Unique across drivers sharing the folder (random UUID), never reused.
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "table"):
