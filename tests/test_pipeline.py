@@ -109,3 +109,26 @@ def test_entry_smoke(spark):
     assert rows and set(df.columns) == {"request_id", "corpus_id", "retrieval_rank", "rerank_score",
                                         "rerank_rank"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_jaccard_matches_python_sets(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    words = ["a", "ab", "zzzzzzzz", "zzzzzzzzz", "éééé", "ééééé", "straße", "x1", "verylongtoken",
+             "verylongtokens", "ü", "42", "4200000000"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 12))),
+             " ".join(rng.choices(words, k=rng.randint(0, 12)))) for _ in range(200)]
+    sc = rr.jaccard_scorer
+    df = spark.createDataFrame(rows, "x string, y string")
+    got = [r["s"] for r in df.select(
+        sc.score(sc.features(F.col("x")), sc.features(F.col("y"))).alias("s")).collect()]
+
+    def py(a, b):
+        ta = {t for t in re.split(r"[^\w]+|_", a.lower()) if t}
+        tb = {t for t in re.split(r"[^\w]+|_", b.lower()) if t}
+        u = ta | tb
+        return len(ta & tb) / len(u) if u else 0.0
+
+    assert got == pytest.approx([py(a, b) for a, b in rows])
