@@ -61,13 +61,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return base
 
 
+_CREATED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for an intermediate table.
 
     Unique across drivers sharing the folder (random UUID), never reused.
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _CREATED.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this driver process wrote; returns how many.
+
+    Call it once the DataFrames built on them have been consumed: anything
+    still reading them would fail. Other drivers' tables are never touched.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _CREATED:
+        jpath = jvm.org.apache.hadoop.fs.Path(_CREATED.pop())
+        fs = jpath.getFileSystem(conf)
+        if fs.exists(jpath) and fs.delete(jpath, True):
+            dropped += 1
+    return dropped
 
 
 def materialize(df, name: str = "table"):

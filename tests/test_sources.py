@@ -59,3 +59,18 @@ def test_cap_papers_is_first_by_id(spark):
 def test_document_mapping_counts(spark):
     # FIXTURES.md: 159 of 200 documents survive the required-field filter at sf0.001
     assert tables.read_articles(spark, SF001).count() == 159
+
+
+def test_drop_scratch_removes_only_own_tables(spark, tmp_path):
+    import os
+
+    from scriptorium.session import drop_scratch, materialize, scratch_path
+
+    drop_scratch(spark)
+    df = materialize(spark.range(10), "t")
+    assert df.count() == 10
+    other = tmp_path / "keep"
+    other.mkdir()
+    path = scratch_path(spark, "unused")  # registered but never written
+    assert drop_scratch(spark) == 1
+    assert not os.path.exists(path) and other.exists()
