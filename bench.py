@@ -1,6 +1,7 @@
 """Benchmark: run the headline queries and print one JSON line.
 
-Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_REPEATS (default 3; each query's time is the median of the repetitions).
 Each query is run to completion with the ``noop`` sink (full execution, no
 result sent to the driver). Times are wall-clock seconds per query, measured
 in steady state: every headline query first runs once on the smallest data
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -48,11 +50,14 @@ def main() -> None:
         warm_dir = sf_dir
     for name in names:
         Q.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for name in names:
-        t0 = time.perf_counter()
-        Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+    repeats = max(1, int(os.environ.get("BENCH_REPEATS", "3")))
+    samples = {name: [] for name in names}
+    for _ in range(repeats):
+        for name in names:
+            t0 = time.perf_counter()
+            Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            samples[name].append(time.perf_counter() - t0)
+    times = {name: round(statistics.median(v), 3) for name, v in samples.items()}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total",
