@@ -87,16 +87,20 @@ def clean_requests(requests: DataFrame, col: str = "request_id") -> DataFrame:
 def plan_requests(requests: DataFrame, stored_keys: DataFrame, articles: DataFrame) -> DataFrame:
     """A6 planning: ``(request_id, status)`` with status ``cached``, ``compute`` or ``unknown``.
 
-    Semi / anti joins only; the store contributes just its key column.
+    One pass: the distinct requests are left-joined to the distinct stored keys
+    and to the distinct corpus ids (key columns only), and the status is read
+    from which side matched.
     """
     reqs = clean_requests(requests)
-    keys = stored_keys.select(F.col(STORE_KEY).alias("request_id"))
-    cached = reqs.join(keys, "request_id", "left_semi").withColumn("status", F.lit("cached"))
-    misses = reqs.join(keys, "request_id", "left_anti")
-    known = articles.select(F.col("pmcid").alias("request_id"))
-    compute = misses.join(known, "request_id", "left_semi").withColumn("status", F.lit("compute"))
-    unknown = misses.join(known, "request_id", "left_anti").withColumn("status", F.lit("unknown"))
-    return cached.unionByName(compute).unionByName(unknown)
+    keys = stored_keys.select(F.col(STORE_KEY).alias("request_id")).distinct().withColumn(
+        "_cached", F.lit(True))
+    known = articles.select(F.col("pmcid").alias("request_id")).distinct().withColumn(
+        "_known", F.lit(True))
+    joined = reqs.join(keys, "request_id", "left").join(known, "request_id", "left")
+    status = (F.when(F.col("_cached").isNotNull(), F.lit("cached"))
+              .when(F.col("_known").isNotNull(), F.lit("compute"))
+              .otherwise(F.lit("unknown")))
+    return joined.select("request_id", status.alias("status"))
 
 
 def get_or_create(store: SummaryStore, requests: DataFrame, articles: DataFrame, compute) -> dict:
