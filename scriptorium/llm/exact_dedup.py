@@ -26,10 +26,10 @@ MAX_ITEMS = 8192
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_id, _digest binary, _n)`` of every row, stored once."""
+    """``(_id, _digest string, _n)`` of every row, stored once."""
     t = id_text(docs, id_col, text_col)
     return save(t.select(
-        "_id", F.unhex(F.sha2(F.translate("_text", SPACES, "").cast("binary"), 256)).alias("_digest"),
+        "_id", F.sha2(F.translate("_text", SPACES, "").cast("binary"), 256).alias("_digest"),
         F.char_length("_text").cast("long").alias("_n")), "digests")
 
 

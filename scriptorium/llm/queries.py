@@ -15,7 +15,7 @@ def op7_exact_dedup(spark, sf_dir):
     g = exact_dedup.exact_groups(_t(spark, sf_dir, "documents"))
     return g.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"),
                     F.col("_size").alias("group_size"), F.col("_kept").alias("kept"),
-                    F.lower(F.hex("_digest")).alias("text_sha256"))
+                    F.col("_digest").alias("text_sha256"))
 
 
 def op8_url_filter(spark, sf_dir):
