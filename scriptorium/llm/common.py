@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 #: Rows of a side that may be broadcast after they were counted (16 to 64 bytes each).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

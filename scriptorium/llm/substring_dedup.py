@@ -3,6 +3,8 @@
 A word is removed when a window of ``window`` words that covers it also starts
 earlier (smaller id, or earlier in the same text).
 
+0. A text whose word sequence also has a smaller id loses every word (none below
+   ``window`` words) and adds no first start, so the passes below skip it.
 1. Each task counts, in a count-min sketch of two rows of 2^27 saturating cells, the
    anchor of every window: its leftmost smallest ``anchor``-word code. Equal windows have
    equal anchors at equal offsets, so an anchor's count is never below the count of
@@ -10,8 +12,8 @@ earlier (smaller id, or earlier in the same text).
    merged by block of 2^16 cells, and what remains is one bit per cell (touched twice
    or more): 32 MB whatever the input, broadcast to the second pass.
 2. Only windows whose anchor is estimated repeated go on, with a 128-bit code. Copies
-   within a slice are settled there; of the others the first start per code wins
-   by an ordinary window function. A fuller sketch lets more windows through, and
+   within a slice are settled there and go on under a key of their own; of the others
+   the first start per code wins by an ordinary window function. A fuller sketch lets more windows through, and
    never loses one: the result is exact at any size.
 
 Edge cases: texts below ``window`` words (also null and empty ones) lose nothing; a
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, runs_of, save, text_chunks
-from .words import U, Words, least_in_window
+from .common import broadcast_if_small, id_text, runs_of, save, text_chunks
+from .words import U, Words, least_in_window, mix
 
 WINDOW = 20
 ANCHOR = 10
@@ -137,29 +139,46 @@ def _candidates(batches, bits, window, anchor):
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         later = (ids != ids[head]) | (pos != pos[head])
         once = runs_of([h1, h2, ids, pos])  # a repeated row gives its window once
+        h1 = np.where(later, mix(ids.view(U)), h1)  # settled: kept out of the code's group
+        h2 = np.where(later, pos.astype(U), h2)
         yield pa.RecordBatch.from_arrays(
             [pa.array(x[once]) for x in (h1.view(np.int64), h2.view(np.int64), ids, pos, later)],
             ["h1", "h2", "_id", "pos", "later"])
 
 
-def later_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_id, pos)`` of every window that also starts earlier."""
-    texts = id_text(docs, id_col, text_col).filter("_id is not null")
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(texts, window, anchor))
-    found = save(texts.mapInArrow(lambda b: _candidates(b, bits, window, anchor),
-                                  "h1 long, h2 long, _id long, pos int, later boolean"), "windows")
+def _keys(batches):
+    for batch, texts in text_chunks(batches):
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_id"), pa.array([hashlib.sha256(b" ".join(t.split())).digest() for t in texts])],
+            ["_id", "_key"])
+
+
+def later_copies(texts: DataFrame) -> DataFrame:
+    """``_copy_id``: ids of texts whose whole word sequence has a smaller id too."""
+    keys = save(texts.mapInArrow(_keys, "_id long, _key binary"), "word-digests")
+    first = keys.groupBy("_key").agg(F.min("_id").alias("f"), F.max("_id").alias("l")).filter("f < l")
+    found = keys.join(first, "_key").filter("_id > f").select(F.col("_id").alias("_copy_id")).distinct()
+    return save(found, "later-copies")
+
+
+def later_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``(_id, pos)`` of every window that also starts earlier; ``texts`` has ``_id, _text``."""
+    bits = texts.sparkSession.sparkContext.broadcast(repeated_cells(texts, window, anchor))
+    found = texts.mapInArrow(lambda b: _candidates(b, bits, window, anchor),
+                             "h1 long, h2 long, _id long, pos int, later boolean")
     first = Window.partitionBy("h1", "h2").orderBy("_id", "pos")
-    rest = found.filter("not later").withColumn("r", F.rank().over(first)).filter("r > 1")
-    return rest.select("_id", "pos").union(found.filter("later").select("_id", "pos"))
+    return found.withColumn("r", F.rank().over(first)).filter("later or r > 1").select("_id", "pos")
 
 
 def _cut(batches, window):
     for batch, texts in text_chunks(batches):
         total, removed, digest, kept_texts = [], [], [], []
-        for text, at in zip(texts, batch.column("_at").to_pylist(), strict=True):
+        for text, at, copy in zip(texts, batch.column("_at").to_pylist(),
+                                  batch.column("_copy_id").to_pylist(), strict=True):
             words = text.split()  # bytes: exactly the six white-space bytes
-            if at:
+            if copy is not None and len(words) >= window:
+                kept = []
+            elif at:
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 starts = np.unique(np.asarray(at, dtype=np.int64))
                 np.add.at(gone, starts, 1)
@@ -182,8 +201,12 @@ def _cut(batches, window):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``_id, n_words, n_removed, kept_text, kept_sha256``."""
-    spots = later_windows(docs, window, anchor, id_col, text_col).groupBy("_id").agg(
+    rows = id_text(docs, id_col, text_col)
+    texts = rows.filter("_id is not null")
+    copies = broadcast_if_small(later_copies(texts))
+    is_copy = F.col("_id") == F.col("_copy_id")
+    spots = later_windows(texts.join(copies, is_copy, "left_anti"), window, anchor).groupBy("_id").agg(
         F.collect_set("pos").alias("_at"))  # at most one place per word of the text
-    rows = id_text(docs, id_col, text_col).join(spots, "_id", "left")
+    rows = rows.join(copies, is_copy, "left").join(spots, "_id", "left")
     return rows.mapInArrow(lambda b: _cut(b, window),
                            "_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
