@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, substring_dedup, url_filter
+from . import exact_dedup, sentencepiece_sampler, substring_dedup, url_filter
 
 
 def _t(spark, sf_dir, name):
@@ -28,7 +28,13 @@ def op9_substring_dedup(spark, sf_dir):
     return out.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_url_filter, op9_substring_dedup)}
+def op10_sentencepiece(spark, sf_dir):
+    out = sentencepiece_sampler.encode(_t(spark, sf_dir, "documents"), check=True)
+    return out.select(F.col("_id").alias("doc_id"), "n_tokens", "ids", "lossless")
+
+
+QUERIES = {f.__name__: f for f in (
+    op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
