@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sentencepiece_sampler, substring_dedup, url_filter
+from . import exact_dedup, jaccard_join, sentencepiece_sampler, substring_dedup, url_filter
 
 
 def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    out = jaccard_join.jaccard_classes(_t(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("_id", "doc_id")
+
+
 def op7_exact_dedup(spark, sf_dir):
     g = exact_dedup.exact_groups(_t(spark, sf_dir, "documents"))
     return g.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"),
@@ -34,7 +39,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
+    op1_ngram_jaccard, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""

@@ -113,3 +113,30 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
     for o in range(width - 1, -1, -1):
         offset[values[o:o + n] == low] = o
     return offset
+
+
+def span_codes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The code of the words ``start:end`` (equal word sequences have equal codes)."""
+    _, _, powers = _seed(seed)
+    up, down = powers.get(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, dtype=U)
+    np.cumsum(codes * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
+def shingles(words: Words, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of every text's ``size``-word shingles, text by text, and their numbers.
+
+    A text of one to ``size - 1`` words has one shingle: all its words.
+    """
+    codes = words.codes(seed)
+    windows, whole = words.windows(codes, size, seed), words.whole(size)
+    n = np.maximum(words.n - size + 1, (words.n > 0).astype(np.int64))
+    out = np.empty(int(n.sum()), dtype=U)
+    first = np.cumsum(n) - n
+    short = np.flatnonzero((words.n > 0) & (words.n < size))
+    is_short = np.zeros(len(out), dtype=bool)
+    is_short[first[short]] = True
+    out[~is_short] = windows[whole]
+    out[is_short] = span_codes(codes, words.first[short], words.last[short], seed)
+    return out, n
