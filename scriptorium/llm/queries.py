@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, sentencepiece_sampler, substring_dedup, url_filter
+from . import exact_dedup, jaccard_join, sentencepiece_sampler, substring_dedup, suffix_dedup, url_filter
 
 
 def _t(spark, sf_dir, name):
@@ -16,6 +16,11 @@ def op1_ngram_jaccard(spark, sf_dir):
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.repeated_passages(_t(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("_id", "doc_id")
+
+
 def op7_exact_dedup(spark, sf_dir):
     g = exact_dedup.exact_groups(_t(spark, sf_dir, "documents"))
     return g.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"),
@@ -39,7 +44,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
+    op1_ngram_jaccard, op5_suffix_dedup, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
