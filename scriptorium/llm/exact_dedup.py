@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, save
+from .common import broadcast_if_small, id_text, save
 
 SPACES = " \t\n\x0b\x0c\r"
 TOP_K = 256
@@ -65,4 +65,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     drop = exact_groups(docs, id_col, text_col).filter(~F.col("_kept")).select(
         F.col("_id").alias("_drop_id")).distinct()
     drop = save(drop, "exact-copies")
-    return docs.join(drop, docs[id_col].cast("long") == drop["_drop_id"], "left_anti")
+    return docs.join(broadcast_if_small(drop), docs[id_col].cast("long") == drop["_drop_id"], "left_anti")

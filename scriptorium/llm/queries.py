@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, sentencepiece_sampler, substring_dedup, suffix_dedup, url_filter
+from . import (decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_sampler, substring_dedup,
+               suffix_dedup, url_filter)
 
 
 def _t(spark, sf_dir, name):
@@ -16,6 +17,18 @@ def op1_ngram_jaccard(spark, sf_dir):
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def op2_quality(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    out = quality.judged(docs.select("doc_id", "text", "lang"), quality.train(docs, labels))
+    return out.select("doc_id", "lang", "_quality.*")
+
+
+def op3_decontaminate(spark, sf_dir):
+    out = decontaminate.contaminated(_t(spark, sf_dir, "documents").select("doc_id", "text"),
+                                     _t(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("_leak.items") > 0).alias("contaminated"), "_leak.*")
+
+
 def op5_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.repeated_passages(_t(spark, sf_dir, "documents"))
     return out.withColumnRenamed("_id", "doc_id")
@@ -44,7 +57,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op5_suffix_dedup, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
+    op1_ngram_jaccard, op2_quality, op3_decontaminate, op5_suffix_dedup, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""

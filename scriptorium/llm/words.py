@@ -51,6 +51,29 @@ def _seed(seed: int):
     return _SEEDS[seed]
 
 
+def window_codes(codes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """The code of the ``size`` entries from each place on, also across texts."""
+    _, _, powers = _seed(seed)
+    n = len(codes) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U)
+    up, down = powers.get(len(codes))
+    sums = np.zeros(len(codes) + 1, dtype=U)
+    np.cumsum(codes * up, out=sums[1:])
+    return mix((sums[size:] - sums[:n]) * down[:n])
+
+
+def whole_windows(n: np.ndarray, size: int) -> np.ndarray:
+    """True at each place that starts a window of one text; ``n``: the texts' lengths."""
+    last = np.cumsum(n)
+    total = int(last[-1]) if len(n) else 0
+    step = np.zeros(total + 1, dtype=np.int32)
+    has = n >= size
+    np.add.at(step, (last - n)[has], 1)
+    np.add.at(step, last[has] - size + 1, -1)
+    return np.cumsum(step)[:max(total - size + 1, 0)] > 0
+
+
 class Words:
     """The words of a slice of texts: start and end bytes, and each text's word range."""
 
@@ -74,25 +97,11 @@ class Words:
 
     def windows(self, codes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
         """The code of the ``size`` words from each word on; see ``whole`` for which count."""
-        _, _, powers = _seed(seed)
-        n = len(codes) - size + 1
-        if n <= 0:
-            return np.zeros(0, dtype=U)
-        up, down = powers.get(len(codes))
-        sums = np.zeros(len(codes) + 1, dtype=U)
-        np.cumsum(codes * up, out=sums[1:])
-        return mix((sums[size:] - sums[:n]) * down[:n])
+        return window_codes(codes, size, seed)
 
     def whole(self, size: int) -> np.ndarray:
         """True at each word that starts a window of ``size`` words of one text."""
-        n = max(len(self.start) - size + 1, 0)
-        ok = np.zeros(n, dtype=bool)
-        step = np.zeros(len(self.start) + 1, dtype=np.int32)
-        has = self.n >= size
-        np.add.at(step, self.first[has], 1)
-        np.add.at(step, self.last[has] - size + 1, -1)
-        ok[:] = np.cumsum(step)[:n] > 0
-        return ok
+        return whole_windows(self.n, size)
 
     def doc(self) -> np.ndarray:
         """The index of the text of each word."""
