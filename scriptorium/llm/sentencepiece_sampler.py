@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, text_chunks
-from .words import U, _Powers, mix
+from .words import U, char_powers, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1e-3
@@ -70,12 +70,11 @@ class Lattice:
         for name in pieces:
             if len(name) > 1:
                 self.joins[[ord(c) for c in name]] = True
-        self.powers = _Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F)
         self._fill(pieces)
 
     def _codes(self, points: np.ndarray):
         """Prefix sums from which any substring's code is one difference."""
-        up, down = self.powers[0].get(len(points))
+        up, down = char_powers(len(points))
         sums = np.zeros(len(points) + 1, dtype=U)
         np.cumsum(mix(points.astype(U) + U(1)) * up, out=sums[1:])
         return sums, down
@@ -155,7 +154,7 @@ class Lattice:
         bounds = np.flatnonzero(cut)
         start, stop = bounds[:-1], bounds[1:]
         sums, _ = self._codes(points)
-        _, down2 = self.powers[0].get(len(points))
+        _, down2 = char_powers(len(points))
         code = mix((sums[stop] - sums[start]) * down2[start])
         _, first, unit = np.unique(code, return_index=True, return_inverse=True)
         # The distinct units, one after the other, each with one more node than characters.
@@ -249,7 +248,7 @@ def model_bytes(path: str) -> bytes:
 
 def _encode(batches, shared, alpha, seed, check):
     lattice = Lattice(shared.value, alpha, seed)
-    for batch, texts in text_chunks(batches, limit=1 << 21):
+    for batch, texts in text_chunks(batches, limit=1 << 20):
         keys = np.array([_NULL_KEY if k is None else k for k in batch.column("_id").to_pylist()], dtype=np.int64)
         ids, n = lattice.sample([t.decode() for t in texts], keys.view(U))
         ends = np.concatenate(([0], np.cumsum(n)))

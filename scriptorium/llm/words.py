@@ -32,35 +32,37 @@ class _Powers:
 
     def get(self, n: int):
         if len(self.up) < n:
-            size = max(n, 1 << 21)
+            size = -(-n // _GROW) * _GROW
             for name, b in (("up", self.base), ("down", self.inverse)):
                 a = np.full(size, b, dtype=U)
                 a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
+                setattr(self, name, np.multiply.accumulate(a, out=a))
         return self.up[:n], self.down[:n]
 
 
-_SEEDS = {}
+_GROW = 1 << 17
+_BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xC2B2AE3D27D4EB4F)
 
 
-def _seed(seed: int):
-    if seed not in _SEEDS:
-        odd = [int(x) | 5 for x in mix(np.arange(4 * seed + 1, 4 * seed + 3, dtype=U) * U(0x9E3779B97F4A7C15))]
-        table = mix(np.arange(1, 257, dtype=U) * U(odd[0]) + U(seed))
-        _SEEDS[seed] = table, _Powers(odd[0]), _Powers(odd[1])
-    return _SEEDS[seed]
+def _byte_table(seed: int) -> np.ndarray:
+    """What each byte stands for in the sums; the seed alone tells independent codes apart."""
+    return mix(np.arange(256 * seed + 1, 256 * seed + 257, dtype=U) * U(0xD6E8FEB86659FD93))
+
+
+def char_powers(n: int):
+    """Powers for sums over ``n`` entries, and their inverses."""
+    return _BYTES.get(n)
 
 
 def window_codes(codes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """The code of the ``size`` entries from each place on, also across texts."""
-    _, _, powers = _seed(seed)
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
-    up, down = powers.get(len(codes))
+    up, down = _WORDS.get(len(codes))
     sums = np.zeros(len(codes) + 1, dtype=U)
     np.cumsum(codes * up, out=sums[1:])
-    return mix((sums[size:] - sums[:n]) * down[:n])
+    return mix((sums[size:] - sums[:n]) * down[:n] + U(seed))
 
 
 def whole_windows(n: np.ndarray, size: int) -> np.ndarray:
@@ -89,8 +91,8 @@ class Words:
         self.n = self.last - self.first
 
     def codes(self, seed: int = 0) -> np.ndarray:
-        table, powers, _ = _seed(seed)
-        up, down = powers.get(len(self.bytes))
+        table = _byte_table(seed)
+        up, down = _BYTES.get(len(self.bytes))
         sums = np.zeros(len(self.bytes) + 1, dtype=U)
         np.cumsum(table[self.bytes] * up, out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])
@@ -126,11 +128,10 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
 
 def span_codes(codes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """The code of the words ``start:end`` (equal word sequences have equal codes)."""
-    _, _, powers = _seed(seed)
-    up, down = powers.get(len(codes) + 1)
+    up, down = _WORDS.get(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, dtype=U)
     np.cumsum(codes * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    return mix((sums[end] - sums[start]) * down[start] + U(seed))
 
 
 def shingles(words: Words, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
