@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, jaccard_join, quality, sentencepiece_sampler, substring_dedup,
-               suffix_dedup, url_filter)
+from . import (decontaminate, exact_dedup, html_wrappers, jaccard_join, quality, sentencepiece_sampler,
+               substring_dedup, suffix_dedup, url_filter)
 
 
 def _t(spark, sf_dir, name):
@@ -34,6 +34,11 @@ def op5_suffix_dedup(spark, sf_dir):
     return out.withColumnRenamed("_id", "doc_id")
 
 
+def op6_html(spark, sf_dir):
+    out = html_wrappers.extract(_t(spark, sf_dir, "pages"))
+    return out.withColumnsRenamed({"_page": "page_id", "_url": "url"})
+
+
 def op7_exact_dedup(spark, sf_dir):
     g = exact_dedup.exact_groups(_t(spark, sf_dir, "documents"))
     return g.select(F.col("_id").alias("doc_id"), F.col("_keep").alias("keep_id"),
@@ -57,7 +62,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_quality, op3_decontaminate, op5_suffix_dedup, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
+    op1_ngram_jaccard, op2_quality, op3_decontaminate, op5_suffix_dedup, op6_html, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
