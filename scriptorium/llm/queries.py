@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, html_wrappers, jaccard_join, quality, sentencepiece_sampler,
+from . import (decontaminate, exact_dedup, html_wrappers, jaccard_join, pii, quality, sentencepiece_sampler,
                substring_dedup, suffix_dedup, url_filter)
 
 
@@ -29,6 +29,11 @@ def op3_decontaminate(spark, sf_dir):
     return out.select("doc_id", (F.size("_leak.items") > 0).alias("contaminated"), "_leak.*")
 
 
+def op4_pii(spark, sf_dir):
+    out = pii.with_surrogates(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_surrogates").alias("text"), F.col("_n_entities").alias("n_entities"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.repeated_passages(_t(spark, sf_dir, "documents"))
     return out.withColumnRenamed("_id", "doc_id")
@@ -62,7 +67,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_quality, op3_decontaminate, op5_suffix_dedup, op6_html, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
+    op1_ngram_jaccard, op2_quality, op3_decontaminate, op4_pii, op5_suffix_dedup, op6_html, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
