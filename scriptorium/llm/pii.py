@@ -50,7 +50,9 @@ SECRET = r"\b(?i:password|passwd|pwd|secret|api_key|apikey|token)\s?[=:]\s?\"?[^
 NAME = (rf"\p{{Lu}}(?<=\b(?:{_ANY_TITLE})\.? \p{{Lu}})\p{{L}}+"
         rf"|\p{{Lu}}(?<=\b(?:{_ANY_TITLE})\.? \p{{Lu}}\p{{Ll}}{{1,15}} \p{{Lu}})\p{{Ll}}+"
         rf"|\b(?:{_ANY_NAME})\b(?= \p{{Lu}}\p{{Ll}})|\p{{Lu}}(?<=\b(?:{_ANY_NAME}) \p{{Lu}})\p{{Ll}}+")
-ENTITY = "|".join([EMAIL, IP, CARD, SSN, PHONE, ACCOUNT, ACCESS, SECRET, NAME])
+# No pattern matches inside a word but for digits after a letter: said once, before all of them.
+ENTITY = (r"(?:(?<![A-Za-z0-9])|(?<=[A-Za-z])(?=\d))(?:"
+          + "|".join([EMAIL, IP, CARD, SSN, PHONE, ACCOUNT, ACCESS, SECRET, NAME]) + ")")
 _LEAD = r"^\w+\s?[=:]\s?\"?"
 
 _LATIN = "bdfghjklmnprstvaeiou"
