@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from ..session import materialize
 
 #: Rows of a side that may be broadcast after they were counted (16 to 64 bytes each).
 BROADCAST_ROWS = 2_000_000
+BATCH_BYTES = 8 << 20
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -34,28 +36,37 @@ def broadcast_if_small(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(saved) if saved.limit(rows + 1).count() <= rows else saved
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; texts go to Python in Arrow batches of at most ``BATCH_BYTES`` from now on.
+
+    Rows stay whole; the session's own smaller bound is kept.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(1 << 30)) or 0) > BATCH_BYTES or int(conf.get(name, "-1")) <= 0:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id`` (long) and ``_text`` (null becomes empty)."""
-    return docs.select(F.col(id_col).cast("long").alias("_id"),
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], id_name: str = "_id", text_name: str = "_text",
-                limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+                limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches of about ``limit`` bytes of text (one row at least).
 
     Texts of any length are whole; the working arrays of a slice stay bounded.
     """
     for batch in batches:
-        texts = batch.column(text_name).cast(pa.binary()).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(t) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        column = batch.column(text_name).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False) + 1)
+        start, done = 0, 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
+            start, done = stop, int(ends[stop - 1])
 
 
 def runs_of(order_keys: list[np.ndarray]) -> np.ndarray:

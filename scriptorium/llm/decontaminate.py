@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of, save
+from .common import runs_of, save, small_batches
 from .words import U, whole_windows, window_codes
 
 WINDOW = 13
 LEAST = 8
 SLICE_WINDOWS = 1_000_000
-_CACHE = 400_000
+_CACHE = 200_000
 
 # Words that name numbers and units.
 NUMBER_WORDS = frozenset("""zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen
@@ -221,7 +221,7 @@ def _finder(shared):
             start = size = 0
             for i, t in enumerate(raw):
                 size += len(t)
-                if size >= 1 << 20 or i == len(raw) - 1:
+                if size >= 1 << 19 or i == len(raw) - 1:
                     for d, item, n, other in shared.value.matches(*templates.read(raw[start:i + 1])):
                         items[start + d].add(item)
                         windows[start + d] += n
@@ -238,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     ``items`` are the ids of the items found (empty: clean), ``windows`` the number of
     matching windows, ``changed`` whether a match has other numbers, names or units.
     """
-    context = docs.sparkSession.sparkContext
+    context = small_batches(docs).sparkSession.sparkContext
     hits = []
     for part in slices(benchmark, item_col, item_text_col, window, least):
         hits.append(_finder(context.broadcast(part))(F.col(text_col)))
