@@ -27,6 +27,7 @@ from . import pipeline as pl
 TOP_K = cfg.RETRIEVAL_TOP_K
 RERANK_K = cfg.RERANK_TOP_K
 CAP_PAPERS = 100
+DIGITS = 6  # both engines rank on scores rounded to this many places
 
 
 def _t(spark, sf, name):
@@ -115,7 +116,7 @@ def _given_vectors(spark, sf):
 def q13_retrieve_top_k(spark, sf):
     vecs = _given_vectors(spark, sf)
     req = vecs.select(F.col("corpus_id").alias("request_id"), "embedding")
-    return rt.retrieve_top_k(req, vecs, TOP_K)
+    return rt.retrieve_top_k(req, vecs, TOP_K, digits=DIGITS)
 
 
 def q12_dot_score(spark, sf):
@@ -141,7 +142,7 @@ def _given_docs(spark, sf, arts):
     corpus = _corpus_given(spark, sf, arts)
     req = corpus.join(arts.select("corpus_id", "pmcid"), "corpus_id").select(
         F.col("pmcid").alias("request_id"), F.col("corpus_id").alias("request_cid"), "embedding")
-    hits = rt.retrieve_top_k(req.select("request_id", "embedding"), corpus, TOP_K)
+    hits = rt.retrieve_top_k(req.select("request_id", "embedding"), corpus, TOP_K, digits=DIGITS)
     hits = hits.withColumnRenamed("rank", "retrieval_rank")
     docs = rt.exclude_self(rt.lookup_hits(hits, arts.select("corpus_id", "pmcid")))
     return docs.join(req.select("request_id", "request_cid"), "request_id")
@@ -160,7 +161,7 @@ def q15_score_pairs(spark, sf):
 
 
 def q16_rerank_top_k(spark, sf):
-    ranked = rr.rerank_top_k(_scored_given(spark, sf), RERANK_K)
+    ranked = rr.rerank_top_k(_scored_given(spark, sf), RERANK_K, DIGITS)
     return ranked.select("request_id", "corpus_id", "retrieval_rank", "rerank_score", "rerank_rank")
 
 
@@ -170,20 +171,20 @@ def _hashed_corpus(arts):
 
 def q17_retrieve_and_rerank(spark, sf):
     arts = _stored_articles(spark, sf)
-    return pl.retrieve_and_rerank(_all_requests(arts), arts, _hashed_corpus(arts))
+    return pl.retrieve_and_rerank(_all_requests(arts), arts, _hashed_corpus(arts), digits=DIGITS)
 
 
 def q18_assemble_context(spark, sf):
     arts = _stored_articles(spark, sf)
     reqs = _all_requests(arts)
-    reranked, texts = pl.retrieve_and_rerank_with_texts(reqs, arts, _hashed_corpus(arts))
+    reranked, texts = pl.retrieve_and_rerank_with_texts(reqs, arts, _hashed_corpus(arts), digits=DIGITS)
     return pr.assemble_context(reqs, reranked, texts)
 
 
 def q19_render_prompt(spark, sf):
     arts = _stored_articles(spark, sf)
     reqs = _all_requests(arts)
-    reranked, texts = pl.retrieve_and_rerank_with_texts(reqs, arts, _hashed_corpus(arts))
+    reranked, texts = pl.retrieve_and_rerank_with_texts(reqs, arts, _hashed_corpus(arts), digits=DIGITS)
     return pl.build_prompts(reqs, texts, reranked)
 
 
