@@ -107,14 +107,17 @@ def get_or_create(store: SummaryStore, requests: DataFrame, articles: DataFrame,
     """Serve cached ids from the store, compute the rest once, save them.
 
     ``compute(request_ids_df) -> wide answers (pmc_id, <audience>_summary...)``.
-    Returns ``{"plan", "answers", "unknown"}`` DataFrames; ``answers`` covers
-    every cached and newly computed id.
+    Returns ``{"plan", "answers", "unknown", "missing"}`` DataFrames; ``answers`` covers
+    every cached and newly computed id. A computed row without any answer is not
+    stored, so that it is tried again; its id, and one that ``compute`` left out, is ``missing``.
     """
     plan = plan_requests(requests, store.keys(), articles).checkpoint(eager=True)
     todo = plan.filter(F.col("status") == "compute").select("request_id")
     if todo.limit(1).count() > 0:
-        store.save(compute(todo))
+        answered = F.coalesce(*[F.col(c) for c in store.schema.fieldNames() if c != STORE_KEY])
+        store.save(compute(todo).filter(answered.isNotNull()))
     wanted = plan.filter(F.col("status") != "unknown").select(F.col("request_id").alias(STORE_KEY))
     answers = store.read().join(wanted, STORE_KEY, "left_semi")
     unknown = plan.filter(F.col("status") == "unknown").select("request_id")
-    return {"plan": plan, "answers": answers, "unknown": unknown}
+    missing = wanted.join(store.keys(), STORE_KEY, "left_anti").withColumnRenamed(STORE_KEY, "request_id")
+    return {"plan": plan, "answers": answers, "unknown": unknown, "missing": missing}

@@ -21,12 +21,14 @@ from ..operators import retrieve as rt
 from ..sources import articles as src
 from ..sources import config as cfg
 from ..sources import tables
-from ..session import materialize
+from ..session import materialize, scratch_path
 from . import pipeline as pl
 
 TOP_K = cfg.RETRIEVAL_TOP_K
 RERANK_K = cfg.RERANK_TOP_K
 CAP_PAPERS = 100
+SPLIT = "en"  # the split that q24 imports
+ROLES = ("user", "assistant", "system")  # answer the audiences in their order
 DIGITS = 6  # both engines rank on scores rounded to this many places
 
 
@@ -208,6 +210,99 @@ def q22_get_or_create(spark, sf):
     return ch.plan_requests(requests, stored, arts)
 
 
+def _pmc(col):
+    return F.concat(F.lit("PMC"), F.col(col).cast("string"))
+
+
+def q23_article_records(spark, sf):
+    docs = _t(spark, sf, "documents").select(_pmc("doc_id").alias("request_id"))
+    return src.lookup_articles(docs, _articles(spark, sf), ("title", "abstract", "body_text"))
+
+
+def q24_import_store_load(spark, sf):
+    """One split of the documents, stored as a corpus and loaded."""
+    root = scratch_path(spark, "root")
+    docs = src.import_corpus(_t(spark, sf, "documents"), SPLIT, "lang")
+    src.write_corpus(tables.articles_from_documents(docs), src.data_path(root, "corpus", "dataset"))
+    return src.load_local(spark, root, "corpus", "dataset")
+
+
+def q25_stored_embeddings(spark, sf):
+    """Vectors are built and stored by the first call; the second only loads them."""
+    root = scratch_path(spark, "root")
+    src.load_or_create_embeddings(spark, root, "corpus", lambda: _hashed_corpus(_articles(spark, sf)))
+    vecs = src.load_or_create_embeddings(spark, root, "corpus", lambda: None)
+    return vecs.select("corpus_id", F.posexplode("embedding").alias("bucket", "v")).filter(
+        "v <> 0").select("corpus_id", "bucket", F.round("v", 6).alias("weight"))
+
+
+def q26_table_answers(spark, sf):
+    """A4 with given answers: the last turn of each role answers one audience."""
+    roles = F.create_map(*[F.lit(x) for pair in zip(ROLES, cfg.AUDIENCES) for x in pair])
+    said = _t(spark, sf, "conversations").groupBy("conv_id", "role").agg(
+        F.max_by("text", "turn").alias("summary")).select(
+        _pmc("conv_id").alias("request_id"), roles[F.col("role")].alias("audience"), "summary")
+    papers = _articles(spark, sf).select(F.col("pmcid").alias("request_id"),
+                                         tx.article_text_keyed().alias("paper"),
+                                         F.lit("").alias("supporting_docs"))
+    return ans.attach_answers(pr.render_prompts(papers), ans.table_responder(said))
+
+
+def _stored_answers(spark, sf):
+    store = ch.SummaryStore(spark, scratch_path(spark, "answers"))
+
+    def rows(df, text):
+        return df.select(F.col("request_id").alias(ch.STORE_KEY),
+                         *[F.concat(F.lit(f"{k} "), text).alias(k + ans.SUMMARY_SUFFIX) for k in cfg.AUDIENCES])
+
+    labels = _t(spark, sf, "labels").select(_pmc("doc_id").alias("request_id"), "quality", "toxic")
+    docs = _t(spark, sf, "documents").select(_pmc("doc_id").alias("request_id"))
+    store.save(rows(labels, F.lit("first")))
+    store.save(rows(labels.filter("quality = 1"), F.lit("second")))
+    arts = _stored_articles(spark, sf)
+    titles = arts.select(F.col("pmcid").alias("request_id"), "title")
+    out = ch.get_or_create(store, docs.unionByName(labels.select("request_id")), arts,
+                           lambda todo: rows(todo.join(titles, "request_id"), F.col("title")))
+    return out["answers"]
+
+
+def q27_answer_store(spark, sf):
+    """The last version saved wins; ids that are not stored are computed and stored."""
+    return _stored_answers(spark, sf)
+
+
+def q28_unpivot_answers(spark, sf):
+    return ans.unpivot_answers(_stored_answers(spark, sf))
+
+
+def q29_summarize(spark, sf):
+    arts = _stored_articles(spark, sf)
+    return pl.summarize(_all_requests(arts), arts, _hashed_corpus(arts), digits=DIGITS)
+
+
+def q30_parse_articles(spark, sf):
+    """An article XML file made of each document, and the pages, which are no XML."""
+    def esc(col):
+        return F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    line = F.split(F.coalesce("text", F.lit("")), "\n", 3)
+    part = [esc(F.coalesce(F.get(line, F.lit(i)), F.lit(""))) for i in range(3)]
+    xml = F.concat(
+        F.lit("<article><article-id>PMC"), F.col("doc_id").cast("string"),
+        F.lit("</article-id><title-group><article-title>"), part[0],
+        F.lit("<italic>i</italic>after</article-title></title-group><abstract><p>"), part[1],
+        F.lit("</p></abstract><body><p>"), part[2],
+        F.lit("<!-- no text --><![CDATA[ x<y ]]></p></body></article>"))
+    docs = _t(spark, sf, "documents").select(_pmc("doc_id").alias("path"), F.encode(xml, "UTF-8").alias("content"))
+    pages = _t(spark, sf, "pages").select(
+        F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("path"),
+        F.encode("html", "UTF-8").alias("content"))
+    done = src.finish_runs(src.parse_documents(docs.unionByName(pages)))
+    kept = F.col("reason").isNull()
+    return done.select("path", *[F.when(kept, F.col(f)).alias(f) for f in tx.ARTICLE_FIELDS],
+                       kept.alias("kept"))
+
+
 QUERIES = {
     "q01_scan_articles": q01_scan_articles,
     "q02_load_corpus": q02_load_corpus,
@@ -231,6 +326,14 @@ QUERIES = {
     "q20_attach_answers": q20_attach_answers,
     "q21_pivot_answers": q21_pivot_answers,
     "q22_get_or_create": q22_get_or_create,
+    "q23_article_records": q23_article_records,
+    "q24_import_store_load": q24_import_store_load,
+    "q25_stored_embeddings": q25_stored_embeddings,
+    "q26_table_answers": q26_table_answers,
+    "q27_answer_store": q27_answer_store,
+    "q28_unpivot_answers": q28_unpivot_answers,
+    "q29_summarize": q29_summarize,
+    "q30_parse_articles": q30_parse_articles,
 }
 
 
@@ -409,6 +512,41 @@ def _wide_sql() -> str:
     return f"WITH {PIPELINE_CTE} SELECT request_id AS pmc_id, {cols} FROM prompts_ GROUP BY request_id"
 
 
+_KEYS = list(cfg.AUDIENCES)
+
+ANSWERS_CTE = f"""{ARTICLES_CTE},
+saved_ AS (
+  SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmc_id,
+         CASE WHEN bool_or(quality = 1) THEN 'second' ELSE 'first' END AS said
+  FROM labels GROUP BY 1
+),
+answers_ AS (
+  SELECT pmc_id, said FROM saved_
+  UNION ALL SELECT pmcid, title FROM articles WHERE pmcid NOT IN (SELECT pmc_id FROM saved_)
+)"""
+
+
+def _parse_sql() -> str:
+    def fields(title, abstract, body):
+        return ", ".join(f"{_join_runs_sql(x)} AS {f}" for f, x in
+                         (("title", title), ("abstract", abstract), ("body_text", body)))
+
+    return f"""
+        WITH l_ AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l,
+                           regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS bad
+                    FROM documents),
+        p_ AS (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, bad, coalesce(l[1], '') AS t,
+                      coalesce(l[2], '') AS a, array_to_string(l[3:], chr(10)) AS b FROM l_),
+        f_ AS (SELECT pmcid, bad, {fields("[CASE WHEN t = '' THEN 'after' ELSE t END]",
+                                          "CASE WHEN a = '' THEN [] ELSE [a] END",
+                                          "CASE WHEN b = '' THEN [' x<y '] ELSE [b, ' x<y '] END")} FROM p_),
+        k_ AS (SELECT *, NOT bad AND title <> '' AND coalesce(abstract, '') <> '' AND body_text <> '' AS kept FROM f_)
+        SELECT pmcid AS path, CASE WHEN kept THEN pmcid END AS pmcid, CASE WHEN kept THEN title END AS title,
+               CASE WHEN kept THEN abstract END AS abstract, CASE WHEN kept THEN body_text END AS body_text, kept
+        FROM k_
+        UNION ALL SELECT 'page' || CAST(page_id AS VARCHAR), NULL, NULL, NULL, NULL, FALSE FROM pages"""
+
+
 ORACLE_SQL = {
     "q02_load_corpus": f"WITH {ARTICLES_CTE} SELECT corpus_id, pmcid, title, abstract, body_text FROM articles",
     "q03_lookup_articles": f"""WITH {ARTICLES_CTE}
@@ -465,4 +603,27 @@ ORACLE_SQL = {
                     WHEN request_id IN (SELECT pmcid FROM articles) THEN 'compute'
                     ELSE 'unknown' END AS status
         FROM req_""",
+    "q23_article_records": f"""WITH {ARTICLES_CTE}
+        SELECT r.request_id, a.corpus_id, a.title, a.abstract, a.body_text, a.corpus_id IS NOT NULL AS found
+        FROM (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS request_id FROM documents) r
+        LEFT JOIN articles a ON a.pmcid = r.request_id""",
+    "q24_import_store_load": f"""WITH {ARTICLES_CTE}
+        SELECT corpus_id, pmcid, title, abstract, body_text FROM articles
+        WHERE corpus_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""",
+    "q25_stored_embeddings": f"""WITH {ARTICLES_CTE}, {_hash_counts_cte('hv_', 'corpus_id', EMB_TEXT_SQL, 'articles')}
+        SELECT h.id AS corpus_id, h.bucket::INTEGER AS bucket, round(h.cnt / sqrt(n.n2), 6) AS weight
+        FROM hv_ h JOIN hv__n n USING (id)""",
+    "q26_table_answers": f"""WITH {ARTICLES_CTE},
+        who_ AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{k}')" for r, k in zip(ROLES, _KEYS))}) t(role, audience)),
+        said_ AS (SELECT 'PMC' || CAST(conv_id AS VARCHAR) AS request_id, audience, arg_max(text, turn) AS summary
+                  FROM conversations JOIN who_ USING (role) GROUP BY 1, 2)
+        SELECT a.pmcid AS request_id, w.audience, s.summary
+        FROM articles a CROSS JOIN who_ w
+        LEFT JOIN said_ s ON s.request_id = a.pmcid AND s.audience = w.audience""",
+    "q27_answer_store": f"""WITH {ANSWERS_CTE}
+        SELECT pmc_id, {", ".join(f"'{k} ' || said AS {k}_summary" for k in _KEYS)} FROM answers_""",
+    "q28_unpivot_answers": f"WITH {ANSWERS_CTE} " + " UNION ALL ".join(
+        f"SELECT pmc_id AS request_id, '{k}' AS audience, '{k} ' || said AS summary FROM answers_" for k in _KEYS),
+    "q29_summarize": _wide_sql(),
+    "q30_parse_articles": _parse_sql(),
 }

@@ -192,19 +192,22 @@ def load_local(spark: SparkSession, root: str, dataset_name: str, data_type: str
 
 
 def import_corpus(df: DataFrame, split: str | None = "train", split_col: str = "split") -> DataFrame:
-    """Keep one split of an external dataset (any ``spark.read`` source)."""
-    if split is None or split_col not in df.columns:
+    """Keep one split of an external dataset (any ``spark.read`` source), or all with None."""
+    if split is None:
         return df
+    if split_col not in df.columns:
+        raise ValueError(f"no column {split_col!r} to take the split {split!r} from")
     return df.filter(F.col(split_col) == F.lit(split)).drop(split_col)
 
 
-def lookup_articles(requests: DataFrame, articles: DataFrame) -> DataFrame:
+def lookup_articles(requests: DataFrame, articles: DataFrame,
+                    fields: tuple[str, ...] = ("title",)) -> DataFrame:
     """Requested ids against the corpus.
 
-    ``(request_id, corpus_id, title, found)``; an id with no article comes back
+    ``(request_id, corpus_id, <fields>, found)``; an id with no article comes back
     with ``found = false`` instead of failing the batch.
     """
-    arts = articles.select(F.col("pmcid").alias("request_id"), "corpus_id", "title")
+    arts = articles.select(F.col("pmcid").alias("request_id"), "corpus_id", *fields)
     return (requests.select("request_id").join(arts, "request_id", "left")
             .withColumn("found", F.col("corpus_id").isNotNull()))
 
