@@ -136,7 +136,8 @@ def _corpus_given(spark, sf, articles):
 
 
 def q14_supporting_docs(spark, sf):
-    return _given_docs(spark, sf, _stored_articles(spark, sf)).select(
+    keys = materialize(_articles(spark, sf).select("corpus_id", "pmcid"), "article-keys")
+    return _given_docs(spark, sf, keys).select(
         "request_id", "corpus_id", "score", "retrieval_rank", "pmcid")
 
 
