@@ -9,11 +9,16 @@ repeated group, and different texts become a slot. Merging is associative, so ta
 merge what they see of a host first, then salted parts, then the parts, and no task
 holds more than two wrappers of a host. The wrappers are joined back by host.
 
-On a page the wrapper says what is template: a fixed text outside an article that all
-pages of the host share. The main text is what stands in ``article`` elements, else in
-``main`` (or an element named like these), else in the body, without the parts that their
-tag, role, class or id marks as menu, header, footer, sidebar, notice, advert, form,
-script, style or comments. A heading in an article's header stays.
+On a page the wrapper says what is template, also inside ``article`` and ``main``: a
+block whose texts stand at the same place on every page of the host that has the place,
+on ``EVIDENCE`` pages at least that differ in their ``LONGEST`` longest other texts (so
+versions of one article that differ in short texts are no evidence); texts of repeated parts are held against each other as
+sets. Outside an article, a fixed text of a part that is not repeated is template too.
+The main text is what stands in ``article`` elements, else in ``main`` (or an element
+named like these), else in the body, without the template and without the parts that
+their tag, role, class or id marks as menu, header, footer, sidebar, notice, advert,
+form, script, style or comments. A heading in an article's header stays. A page of
+nothing but template keeps it.
 
 Edge cases: a null or empty page has the empty text; unclosed and stray tags, quotes in
 attributes and unknown references are read as browsers do, roughly; a null url is a
@@ -38,8 +43,9 @@ from .url_filter import parts
 
 SALTS = 32
 WRAPPER_ROWS = 20_000
-MAX_DEPTH = 48
-FIXED_CHARS = 200
+FIXED_CHARS = 200  # longer fixed texts are held as digests
+EVIDENCE = 3
+LONGEST = 4
 
 # Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -148,17 +154,25 @@ class Reader:
 
 
 # Wrappers: {"lo": least, "rep": repeated, "kids": {signature: wrapper}} and, for texts,
-# {"lo": .., "rep": .., "text": string or None (a slot)}; kids stay in page order.
+# {"lo": .., "rep": .., "text": string or None (a slot), "same": {digest: evidence}} with the
+# texts of all pages that have the place; kids stay in page order. Nothing here recurses: pages
+# nest to any depth.
 
 
 def _flat(text: str) -> str:
     return " ".join(htmllib.unescape(text).split())
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
 def page_wrapper(page: str) -> dict:
     """The wrapper of a single page."""
     root = {"lo": 1, "rep": False, "kids": {}}
     reader, nodes = Reader(), [root]
+    slots: list[dict] = []
+    longest: dict[str, int] = {}  # the longest texts of the page
 
     def add(parent, signature, make):
         kids = parent["kids"]
@@ -179,76 +193,125 @@ def page_wrapper(page: str) -> dict:
         node = nodes[-1]
         if kind == "text":
             text = _flat(what)
-            if text and len(nodes) <= MAX_DEPTH:
-                text = text if len(text) <= FIXED_CHARS else None
-                slot = add(node, "#", {"lo": 1, "rep": False, "text": text})
+            if text:
+                digest = _digest(text)
+                longest[digest] = len(text)
+                if len(longest) > LONGEST + 1:
+                    del longest[min(longest, key=lambda d: (longest[d], d))]
+                text = text if len(text) <= FIXED_CHARS else f"#{digest}"
+                slot = add(node, "#", {"lo": 1, "rep": False, "text": text, "same": {}})
                 if slot["text"] != text:
                     slot["text"] = None
+                slot["same"][digest] = []
+                slots.append(slot)
         elif kind == "start":
             close(reader.pops(what))
             node = nodes[-1]
-            signature = marks(what, attributes)[0]
-            kid = node
-            if len(nodes) <= MAX_DEPTH:
-                kid = add(node, signature, {"lo": 1, "rep": False, "kids": {}})
+            kid = add(node, marks(what, attributes)[0], {"lo": 1, "rep": False, "kids": {}})
             if what not in VOID:
                 reader.stack.append((what,))
                 nodes.append(kid)
         else:
             close(reader.end(what))
+    order = sorted(longest, key=lambda d: (-longest[d], d))
+    for slot in slots:
+        for digest in slot["same"]:
+            others = [d for d in order if d != digest][:LONGEST]
+            slot["same"][digest] = [_digest(" ".join(others))] if others else []
     return root
 
 
 def merged(a: dict, b: dict) -> dict:
     """The wrapper that both pages, or all pages of both wrappers, match."""
-    out = {"lo": min(a["lo"], b["lo"]), "rep": a["rep"] or b["rep"]}
-    if "text" in a:
-        return out | {"text": a["text"] if a["text"] == b["text"] else None}
-    kids, other = {}, list(b["kids"])
-    at = 0
-    for signature, kid in a["kids"].items():
-        if signature not in b["kids"]:
-            kids[signature] = kid | {"lo": 0}
+    top: dict = {}
+    todo = [(a, b, False, top)]
+    while todo:
+        a, b, moved, out = todo.pop()
+        out.update(lo=min(a["lo"], b["lo"]), rep=a["rep"] or b["rep"] or moved)
+        if "text" in a:
+            same = {d: sorted({*a["same"][d], *b["same"][d]})[:EVIDENCE] for d in a["same"] if d in b["same"]}
+            out.update(text=a["text"] if a["text"] == b["text"] else None, same=same)
             continue
-        place = other.index(signature)
-        if place >= at:
+        kids, other = {}, list(b["kids"])
+        out["kids"] = kids
+        places = {k: n for n, k in enumerate(other)}
+        at = 0
+        for signature, kid in a["kids"].items():
+            if signature not in places:
+                kids[signature] = kid | {"lo": 0}
+                continue
+            place = places[signature]
             for k in other[at:place]:  # before it, and only in the other wrapper
                 if k not in a["kids"]:
                     kids[k] = b["kids"][k] | {"lo": 0}
-            at = place + 1
-            kids[signature] = merged(kid, b["kids"][signature])
-        else:  # another order: part of a repeated group
-            kids[signature] = merged(kid, b["kids"][signature]) | {"rep": True}
-    for k in other:
-        if k not in kids:
-            kids[k] = b["kids"][k] | {"lo": 0}
-    return out | {"kids": kids}
+            kids[signature] = {}
+            # In another order it is part of a repeated group.
+            todo.append((kid, b["kids"][signature], place < at, kids[signature]))
+            at = max(at, place + 1)
+        for k in other:
+            if k not in kids:
+                kids[k] = b["kids"][k] | {"lo": 0}
+    return top
+
+
+def packed(wrapper: dict, evidence: int = 0) -> str:
+    """The wrapper as JSON, its nodes in page order with their depths; only texts with the evidence stay."""
+    rows, todo = [], [(0, "", wrapper)]
+    while todo:
+        depth, signature, node = todo.pop()
+        row = [depth, signature, node["lo"], node["rep"]]
+        if "text" in node:
+            row += [node["text"], {d: e for d, e in node["same"].items() if len(e) >= evidence}]
+        else:
+            todo += [(depth + 1, k, kid) for k, kid in reversed(node["kids"].items())]
+        rows.append(row)
+    return json.dumps(rows)
+
+
+def unpacked(text: str) -> dict:
+    """The wrapper from ``packed``."""
+    path: list[dict] = []
+    for depth, signature, lo, rep, *rest in json.loads(text):
+        node = {"lo": lo, "rep": rep} | ({"text": rest[0], "same": rest[1]} if rest else {"kids": {}})
+        path[depth:] = [node]
+        if depth:
+            path[depth - 1]["kids"][signature] = node
+    return path[0]
 
 
 def expression(wrapper: dict) -> str:
     """The wrapper as a union-free regular expression."""
-    out = []
-    for signature, kid in wrapper["kids"].items():
-        inner = (kid["text"] if kid["text"] is not None else "#TEXT") if "text" in kid else (
-            f"<{signature}>{expression(kid)}</{signature.split('.')[0]}>")
+    out, todo = [], [*reversed(wrapper["kids"].items())]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        signature, kid = item
         sign = ("*" if kid["lo"] == 0 else "+") if kid["rep"] else "?" if kid["lo"] == 0 else ""
-        out.append(f"({inner}){sign}" if sign else inner)
+        out.append("(" if sign else "")
+        todo.append(f"){sign}" if sign else "")
+        if "text" in kid:
+            out.append(kid["text"] if kid["text"] is not None else "#TEXT")
+        else:
+            out.append(f"<{signature}>")
+            todo += [f"</{signature.split('.')[0]}>", *reversed(kid["kids"].items())]
     return "".join(out)
 
 
 def main_text(page: str | None, wrapper: dict | None = None) -> str:
     """The main text of a page of the host that ``wrapper`` describes."""
     reader = Reader()
-    blocks: list[tuple[int, bool, list[str]]] = []  # (rank, fixed, words); rank 0: article, 1: main, 2: other
+    blocks: list[tuple[int, bool, bool, str]] = []  # (rank, fixed, shared, text); rank 0: article, 1: main, 2: other
     run: list[str] = []
-    state = {"rank": 2, "drop": False, "node": wrapper, "fixed": True}
+    state = {"rank": 2, "drop": False, "node": wrapper, "fixed": True, "shared": True}
 
     def flush():
         text = " ".join(htmllib.unescape("".join(run)).split())
         if text and not state["drop"]:
-            blocks.append((state["rank"], state["fixed"], text))
+            blocks.append((state["rank"], state["fixed"], state["shared"], text))
         run.clear()
-        state["fixed"] = True
+        state["fixed"] = state["shared"] = True
 
     def close(n):
         for _ in range(n):
@@ -265,6 +328,9 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
             if what.strip():
                 slot = (state["node"] or {}).get("kids", {}).get("#")
                 state["fixed"] &= bool(slot and slot["lo"] == 1 and not slot["rep"] and slot["text"] is not None)
+                if not state["drop"]:
+                    same = slot["same"] if slot else {}
+                    state["shared"] &= bool(same) and len(same.get(_digest(_flat(what)), ())) >= EVIDENCE
         elif kind == "start":
             close(reader.pops(what))
             if what in BLOCKS:
@@ -292,9 +358,8 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
         return ""
     rank = min(b[0] for b in blocks)
     chosen = [b for b in blocks if b[0] == rank]
-    if rank == 2 and any(not b[1] for b in chosen):
-        chosen = [b for b in chosen if not b[1]]
-    return "\n".join(b[2] for b in chosen)
+    own = [b for b in chosen if not (b[2] or rank == 2 and b[1])]
+    return "\n".join(b[3] for b in own or chosen)
 
 
 def _in_header(stack) -> bool:
@@ -330,27 +395,27 @@ def _page_wrappers(batches, salts):
         seen: dict[str, set] = {}
         for url, page in zip(batch.column("_url").to_pylist(), batch.column("_html").to_pylist(), strict=True):
             host, wrapper = _host(url), page_wrapper(page or "")
-            text = json.dumps(wrapper)
+            text = packed(wrapper)
             if (key := hashlib.blake2b(text.encode(), digest_size=16).digest()) in seen.setdefault(host, set()):
                 continue  # equal pages add nothing
             seen[host].add(key)
             own[host] = merged(own[host], wrapper) if host in own else wrapper
         yield pa.RecordBatch.from_pydict({
-            "host": list(own), "salt": [(salt * 31 + k) % salts] * len(own), "wrapper": [json.dumps(w) for w in own.values()],
+            "host": list(own), "salt": [(salt * 31 + k) % salts] * len(own), "wrapper": [packed(w) for w in own.values()],
         }, schema=pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())]))
 
 
-def _merged(batches):
+def _merged(batches, evidence=0):
     held: list = []
     for batch in batches:
         out: list = []
         rows = zip(zip(batch.column("host").to_pylist(), batch.column("salt").to_pylist(), strict=True),
-                   map(json.loads, batch.column("wrapper").to_pylist()), strict=True)
-        _merge_rows(rows, held, lambda h, out=out: out.append((*h[0], json.dumps(h[1]))))
+                   map(unpacked, batch.column("wrapper").to_pylist()), strict=True)
+        _merge_rows(rows, held, lambda h, out=out: out.append((*h[0], packed(h[1], evidence))))
         if out:
             yield _rows(out)
     if held:
-        yield _rows([(*held[0], json.dumps(held[1]))])
+        yield _rows([(*held[0], packed(held[1], evidence))])
 
 
 def _rows(out):
@@ -365,7 +430,7 @@ def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html"
         lambda b: _page_wrappers(b, salts), schema)
     salted = rows.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(_merged, schema)
     whole = salted.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host").mapInArrow(
-        _merged, schema)
+        lambda b: _merged(b, EVIDENCE), schema)
     return save(whole.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper")), "wrappers")
 
 
@@ -377,7 +442,7 @@ def _extract(batches):
             if wrapper is not None and wrapper not in known:
                 if len(known) > 200:
                     known.clear()
-                known[wrapper] = json.loads(wrapper)
+                known[wrapper] = unpacked(wrapper)
             texts.append(main_text(page, known.get(wrapper)))
         yield pa.RecordBatch.from_arrays([batch.column("_page"), batch.column("_url"), pa.array(texts, pa.string()),
                                           pa.array([len(t) for t in texts], pa.int64())], ["_page", "_url", "text", "n_chars"])

@@ -68,3 +68,34 @@ def test_query_against_plain_reading(spark):
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split())
                   for b in re.split("</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(b for b in blocks if b) and r.url == pages[r.page_id].url
+
+
+def test_template_text_goes_inside_articles(spark):
+    """Notices of no listed class, long and short, in bare and in own elements, and below 48 levels."""
+    long, deep = "terms " * 60, "<div>" * 60
+    rows = [(n, f"http://{tag}.example/{n}", f"<{tag}><p class=zq>Read more of our stories</p><h1>Head {n}</h1><p>told {n}</p>"
+             f"{'<p>more</p>' * (n % 3)}<p>second {n}</p><p>Send this to a friend</p><p class=zz>{long}</p>"
+             f"{deep}<i class=zd>deep notice</i>{'</div>' * 60}{'<b class=zo>Only here</b>' if n == 4 else ''}</{tag}>")
+            for tag in ("article", "main") for n in range(12)]
+    copy = "".join(f"<p>{'long ' * 9}{k}</p>" for k in range(5))
+    # Versions of one article, and a host of two pages tell nothing.
+    rows += [(100 + n, "http://copy.example/", f"<article><h1>Head</h1>{copy}<p class=v>v {n}</p></article>") for n in range(9)]
+    rows += [(200 + n, "http://two.example/", f"<article><h1>H</h1><p>text {n}</p></article>") for n in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 7):
+        got = {(r._page, r._url): r.text.split("\n") for r in hw.extract(pages.repartition(parts)).collect()}
+        for n, url, _ in rows:
+            text = got[n, url]
+            if n < 100:
+                assert text == [f"Head {n}", f"told {n}", *["more"] * (n % 3), f"second {n}"] + ["Only here"] * (n == 4)
+            elif n < 200:
+                assert text == ["Head", *(f"{'long ' * 9}{k}" for k in range(5)), f"v {n - 100}"]
+            else:
+                assert text == ["H", f"text {n - 200}"]
+
+
+def test_wrapper_survives_packing():
+    page = "<div>" * 5000 + "deep" + "x" * 300
+    w = hw.page_wrapper(page)
+    assert hw.packed(hw.unpacked(hw.packed(w))) == hw.packed(hw.merged(w, w)) == hw.packed(w)
+    assert hw.expression(w).count("<div>") == 5000
