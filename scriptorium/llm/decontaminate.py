@@ -2,12 +2,17 @@
 
 Every word loses its outer punctuation and its case; numbers, number words, units,
 numbers with a unit, and names (capitalised words inside a sentence) become typed
-placeholders. A document is contaminated by an item when a window of ``WINDOW``
-template words (a whole item, if it has fewer, but ``LEAST``) with at least half of them
-literal occurs in both, and the values in the placeholders are consistent along the
-whole match: one item value always stands for one document value, and different
-names stay different. So a copy is caught and a question with other numbers or names
-too, but not a text that only shares the pattern.
+placeholders; a capitalised word that opens a sentence may be a name or not, and matches
+as either. A document is contaminated by an item in one of three ways: a window of
+``WINDOW`` template words (a whole item, if it has fewer, but ``LEAST``) with at least
+half of them literal occurs in both, and the values in the placeholders are consistent
+along the whole match: one item value always stands for one document value, and
+different names stay different; or a run of twice ``WINDOW`` words of a match that is not
+consistent as a whole is so in itself; or a window of ``WINDOW`` words (a whole item, if it
+has fewer, but ``SHORT``) occurs in both with the same values, however few are literal.
+So a copy is caught and a question with other numbers or names too, but not a text that
+only shares the pattern. A letter of a script without spaces (Chinese, Japanese, Thai and
+the like) is a word of its own.
 
 The windows are hash-joined on the map side: the item windows are few, but not bounded,
 so items are dealt by hash over slices of about ``SLICE_WINDOWS`` windows, each broadcast
@@ -15,7 +20,7 @@ of its own; every document window is looked up in every slice, whatever their nu
 and documents are never shuffled.
 
 Edge cases: null and empty texts are clean; an empty benchmark contaminates nothing;
-items below ``LEAST`` template words cannot be told from chance and match nothing; null
+items below ``SHORT`` words cannot be told from chance and match nothing; null
 items are skipped; repeated items and rows are judged alike; items with equal text are
 all listed.
 """
@@ -33,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import runs_of, save, small_batches
-from .words import U, whole_windows, window_codes
+from .words import _WORDS, U, mix, whole_windows, window_codes
 
 WINDOW = 13
 LEAST = 8
+SHORT = 5
 SLICE_WINDOWS = 1_000_000
 _CACHE = 200_000
 
@@ -54,7 +60,17 @@ _PUNCT = "\"'`.,;:!?()[]{}<>*_~-–—‘’“”«»¿¡…"
 _NUMBER = re.compile(r"[+\-−]?[$€£]?\d[\d.,:/]*%?[$€£]?")
 _WITH_UNIT = re.compile(r"[+\-−]?\d[\d.,]*([^\W\d_][\w/]*)")
 _LISTED = NUMBER_WORDS | UNITS
-LITERAL, NUMBER, UNIT, MEASURE, NAME, DROPPED = range(6)
+LITERAL, NUMBER, UNIT, MEASURE, NAME, DROPPED, OPENER = range(7)
+#: Letters of scripts without spaces, and the punctuation between them.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                       "\U00020000-\U0003ffff])|[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20]")
+_MAYBE_UNSPACED = re.compile(rb"[\xe3-\xe9\xef\xf0]|\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]")
+
+
+def _split(text: bytes) -> list[bytes]:
+    if not text.isascii() and _MAYBE_UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", text.decode()).encode()
+    return text.split()
 
 
 def _code(text: str) -> int:
@@ -111,7 +127,7 @@ class Templates(dict):
         """Template codes, values and kinds of all words, and the number of each text's words."""
         if len(self) > _CACHE:
             self.reset()
-        words = [t.split() for t in texts]
+        words = [_split(t) for t in texts]
         n = np.array([len(ws) for ws in words], dtype=np.int64)
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), dtype=np.int32, count=int(n.sum()))
         self._grow()
@@ -119,83 +135,177 @@ class Templates(dict):
         opens = np.ones(len(at), dtype=bool)
         opens[1:] = ends[:-1]
         opens[(np.cumsum(n) - n)[n > 0]] = True
-        kind[(kind == NAME) & opens] = LITERAL
-        code = np.where(kind == LITERAL, value, _TYPES[kind])
+        kind[(kind == NAME) & opens] = OPENER
+        code = np.where((kind == LITERAL) | (kind == OPENER), value, _TYPES[kind])
         stay = kind != DROPPED
         doc = np.repeat(np.arange(len(n)), n)[stay]
         return code[stay], value[stay], kind[stay], np.bincount(doc, minlength=len(n))
 
 
-_TYPES = np.array([_code(f"<type {k}>") for k in range(6)], dtype=U)
+_TYPES = np.array([_code(f"<type {k}>") for k in range(7)], dtype=U)
 
 
-def _windows(code, kind, n, size):
-    """Starts and codes of the windows of ``size`` with enough literals."""
+def _windows(code, n, size):
+    """Starts and codes of the windows of ``size``."""
     whole = whole_windows(n, size)
     if not whole.any():
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
-    literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-    start = np.flatnonzero(whole & (2 * (literal[size:] - literal[:-size]) >= size))
+    start = np.flatnonzero(whole)
     return start, window_codes(code, size, 5)[start]
 
 
+def _literals(kind, start, size):
+    """Numbers of literals in the windows."""
+    sums = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+    return sums[start + size] - sums[start]
+
+
+class _Table:
+    """Sorted codes of item windows with their starts; a bit per code bucket goes before the search."""
+
+    def __init__(self, size: int, code: np.ndarray, start: np.ndarray):
+        order = np.argsort(code, kind="stable")
+        self.size, self.code, self.start = size, code[order], start[order]
+        bits = max(16, (16 * len(code)).bit_length())
+        self.shift = U(64 - bits)
+        self.some = np.zeros(1 << bits, dtype=bool)
+        self.some[code >> self.shift] = True
+
+    def pairs(self, at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of text windows and of the item windows with the same code."""
+        maybe = self.some[code >> self.shift]
+        at, code = at[maybe], code[maybe]
+        low, high = np.searchsorted(self.code, code), np.searchsorted(self.code, code, side="right")
+        times = high - low
+        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+        return np.repeat(at, times), self.start[entry]
+
+
 class Items:
     """The template words and windows of a slice of the benchmark."""
 
     def __init__(self, rows: list[tuple[int, str]], window: int = WINDOW, least: int = LEAST):
         self.ids = np.array([i for i, _ in rows], dtype=np.int64)
         self.code, self.value, self.kind, self.n = Templates().read([t.encode() for _, t in rows])
-        self.first = np.cumsum(self.n) - self.n
-        item = np.repeat(np.arange(len(rows)), self.n)
-        self.tables = []  # (size, sorted codes, starts)
-        for size in range(least, window + 1):
-            wanted = np.where(self.n >= window, size == window, self.n == size)
-            start, code = _windows(self.code, self.kind, self.n, size)
-            use = wanted[item[start]] if len(start) else np.zeros(0, dtype=bool)
-            start, code = start[use], code[use]
-            order = np.argsort(code, kind="stable")
-            if len(order):
-                self.tables.append((size, code[order], start[order]))
-        self.item = item
+        self.item = np.repeat(np.arange(len(rows)), self.n)
+        self.window = window
+        # What an opener of a text can be but a name.
+        self.words = np.unique(self.value[(self.kind == LITERAL) | (self.kind == OPENER)])
+        self.tables, self.exact = [], []
+        for size in range(min(least, SHORT), window + 1):
+            wanted = self.n >= window if size == window else self.n == size
+            for tables, codes, lowest in ((self.tables, self._templates, least), (self.exact, self._values, SHORT)):
+                if size >= min(lowest, window):
+                    start, code = codes(size)
+                    use = wanted[self.item[start]]
+                    if use.any():
+                        tables.append(_Table(size, code[use], start[use]))
+
+    def _values(self, size):
+        return _windows(self.value, self.n, size)
+
+    def _templates(self, size):
+        """Windows with enough literals, once for each choice of openers that are names."""
+        start = np.flatnonzero(whole_windows(self.n, size))
+        up = _WORDS.get(max(size, 1))[0]
+        raw = np.zeros(len(start), dtype=U)
+        for k in range(size):
+            raw += self.code[start + k] * up[k]
+        count = _literals(np.where(self.kind == OPENER, LITERAL, self.kind), start, size)
+        for k in range(size):
+            enough = 2 * count >= size
+            start, raw, count = start[enough], raw[enough], count[enough]
+            as_name = self.kind[start + k] == OPENER
+            of = start[as_name]
+            raw = np.concatenate((raw, raw[as_name] + (_TYPES[NAME] - self.code[of + k]) * up[k]))
+            start, count = np.concatenate((start, of)), np.concatenate((count, count[as_name] - 1))
+        enough = 2 * count >= size
+        return start[enough], mix(raw[enough] + U(5))
+
+    def _found(self, code, value, kind, n):
+        """``(size, at, of)`` of the template windows that both hold."""
+        opener = np.flatnonzero(kind == OPENER)
+        known = opener[np.isin(value[opener], self.words)]
+        names, either = kind.copy(), kind.copy()
+        names[opener] = either[opener] = NAME
+        either[known] = LITERAL
+        near = np.zeros(len(kind) + 1, dtype=np.int64)
+        near[known + 1] = 1
+        near = np.cumsum(near)
+        for table in self.tables:
+            size, found = table.size, []
+            for kinds in (either, names)[:1 + bool(len(known))]:
+                codes = np.where(kinds == NAME, _TYPES[NAME], code)
+                start, window = _windows(codes, n, size)
+                use = 2 * _literals(kinds, start, size) >= size
+                if kinds is names:
+                    use &= near[start + size] > near[start]  # the others are as before
+                at, of = table.pairs(start[use], window[use])
+                same = np.ones(len(at), dtype=bool)
+                for k in range(size):  # the windows themselves, not only their codes
+                    a, b = at + k, of + k
+                    opens = self.kind[b] == OPENER
+                    same &= np.where(opens, (kinds[a] == NAME) | (kinds[a] == LITERAL) & (value[a] == self.value[b]),
+                                     (kinds[a] == self.kind[b]) & (codes[a] == self.code[b]))
+                found.append(np.stack((at[same], of[same])))
+            at, of = np.unique(np.concatenate(found, axis=1), axis=1)
+            if len(at):
+                yield size, at, of
 
     def matches(self, code, value, kind, n):
-        """``(text, item id, windows, changed)`` for all consistent matches of a slice of texts."""
+        """``(text, item id, windows, changed)`` for all matches of a slice of texts."""
         doc = np.repeat(np.arange(len(n)), n)
-        out = []
-        for size, codes, starts in self.tables:
-            at, found = _windows(code, kind, n, size)
-            low = np.searchsorted(codes, found)
-            hit = np.flatnonzero(codes[np.minimum(low, len(codes) - 1)] == found)
-            if not len(hit):
-                continue
-            low, high = low[hit], np.searchsorted(codes, found[hit], side="right")
-            times = high - low
-            at = np.repeat(at[hit], times)
-            entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-            of = starts[entry]
-            same = np.ones(len(at), dtype=bool)
-            for k in range(size):  # the windows themselves, not only their codes
-                same &= (code[at + k] == self.code[of + k]) & (kind[at + k] == self.kind[of + k])
-            at, of = at[same], of[same]
+        out, told = [], [np.zeros(0, dtype=np.int64)]
+        for size, at, of in self._found(code, value, kind, n):
             order = np.lexsort((at, at - of, self.item[of], doc[at]))
             at, of = at[order], of[order]
             cuts = np.flatnonzero(runs_of([doc[at], self.item[of], at - of]))
             for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
                 # The template words that the windows of this diagonal cover.
-                spot = np.unique((at[a:b, None] + np.arange(size)).ravel())
-                mine, theirs = spot, spot - (at[a] - of[a])
-                slot = kind[mine] != LITERAL
-                if _consistent(value[mine][slot], self.value[theirs][slot], kind[mine][slot]):
-                    changed = bool((value[mine] != self.value[theirs])[slot].any())
-                    out.append((int(doc[at[a]]), int(self.ids[self.item[of[a]]]), int(b - a), changed))
+                mine = np.unique((at[a:b, None] + np.arange(size)).ravel())
+                theirs = mine - (at[a] - of[a])
+                kinds, other = self.kind[theirs], value[mine] != self.value[theirs]
+                slot = (kinds != LITERAL) & (other | (kinds != OPENER))
+                pairs = [(k, i, d) if s else None for k, i, d, s in zip(
+                    np.where(kinds == OPENER, NAME, kinds).tolist(), self.value[theirs].tolist(), value[mine].tolist(),
+                    slot.tolist(), strict=True)]
+                low, high = _consistent_run(pairs)
+                if high - low == len(pairs) or high - low >= 2 * self.window:
+                    inside = (at[a:b] >= mine[low]) & (at[a:b] + size - 1 <= mine[high - 1])
+                    out.append((int(doc[at[a]]), int(self.ids[self.item[of[a]]]), int(inside.sum()),
+                                bool((other & slot)[low:high].any())))
+                    told.append(at[a:b][inside] * len(self.value) + of[a:b][inside])
+        told = np.concatenate(told)
+        for table in self.exact:
+            at, of = table.pairs(*_windows(value, n, table.size))
+            same = np.ones(len(at), dtype=bool)
+            for k in range(table.size):
+                same &= value[at + k] == self.value[of + k]
+            at, of = at[same], of[same]
+            new = ~np.isin(at * len(self.value) + of, told)
+            pairs, times = np.unique(np.stack((doc[at], self.item[of]))[:, new], axis=1, return_counts=True)
+            out += [(d, int(self.ids[i]), w, False) for d, i, w in zip(*pairs.tolist(), times.tolist(), strict=True)]
         return out
 
 
-def _consistent(doc: np.ndarray, item: np.ndarray, kind: np.ndarray) -> bool:
-    """One item value stands for one document value, and names keep apart."""
-    pairs = {*zip(kind.tolist(), item.tolist(), doc.tolist(), strict=True)}
-    names = [p for p in pairs if p[0] == NAME]
-    return len({p[:2] for p in pairs}) == len(pairs) and len({p[2] for p in names}) == len(names)
+def _consistent_run(pairs: list) -> tuple[int, int]:
+    """The longest run in which one item value stands for one document value, and names keep apart."""
+    there, back, low, best = {}, {}, 0, (0, 0)
+    for high, pair in enumerate(pairs):
+        if pair:
+            keys = [(there, pair[:2], pair[2])] + [(back, pair[2], pair[1])] * (pair[0] == NAME)
+            while any(key in held and held[key][0] != want for held, key, want in keys):
+                if (gone := pairs[low]) is not None:
+                    for held, key in [(there, gone[:2])] + [(back, gone[2])] * (gone[0] == NAME):
+                        held[key][1] -= 1
+                        if not held[key][1]:
+                            del held[key]
+                low += 1
+            for held, key, want in keys:
+                held.setdefault(key, [want, 0])[1] += 1
+        if high + 1 - low > best[1] - best[0]:
+            best = low, high + 1
+    return best
 
 
 def slices(benchmark: DataFrame, item_col: str, text_col: str, window: int, least: int) -> list[Items]:

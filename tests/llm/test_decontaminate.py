@@ -47,6 +47,33 @@ def test_cases(table, items, monkeypatch, slice_windows):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(["12", "13", "15", "16", "17", "18", "None", "21"])
 
 
+LONG = "the miller of {a} had {n} sacks of flour and sold {n} of them at once to the old baker who lived behind the " \
+       "church near the bridge and then went home to {a} with a purse full of coins and {n} empty sacks under his arm"
+
+
+@pytest.mark.parametrize("item, doc, changed", [
+    ("Compute 3 + 4 * 5 - 6 / 2 + 8 =", "Now: compute 3 + 4 * 5 - 6 / 2 + 8 = ?", False),
+    ("Compute 3 + 4 * 5 - 6 / 2 + 8 =", "Now: compute 3 + 4 * 5 - 6 / 2 + 9 = ?", None),
+    ("What is the capital of France?", "He asked: what is the capital of France? Paris.", False),
+    ("What is the capital of France?", "What is the capital of Spain?", None),
+    ("法国的首都是哪个城市？", "请问，法国的首都是哪个城市？答案是巴黎。", False),
+    ("法国的首都是哪个城市？", "西班牙的首都是哪个城市？", None),
+    ("Anna sold 12 pears to her friends. Berta bought 5 of them for 3 euros.",
+     "Carla sold 14 pears to her friends. Doris bought 6 of them for 4 euros.", True),
+    ("Anna sold 12 pears to her friends. Berta bought 5 of them for 3 euros.",
+     "We saw that Carla sold 14 pears to her friends. Doris bought 6 of them for 4 euros.", True),
+    ("The farmer sold 12 pears to her friends. Berta bought 5 of them for 3 euros.",
+     "So the farmer sold 14 pears to her friends. Doris bought 6 of them for 4 euros.", True),
+    (LONG.format(a="Ulm", n=9), LONG.format(a="Ulm", n=9).replace("9 empty", "8 empty"), False),
+    (LONG.format(a="Ulm", n=9), LONG.format(a="Bern", n=7).replace("7 empty", "8 empty"), True),
+])
+def test_whole_job(table, spark, item, doc, changed):
+    """Exact copies of any kind, openers that are names, and consistent parts of a longer match."""
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    [row] = dc.contaminated(table([(1, doc)]), items).select("_leak.*").collect()
+    assert (row["items"], row.changed) == (([7], changed) if changed is not None else ([], False))
+
+
 def test_empty(table, items):
     assert dc.contaminated(table([]), items).collect() == []
     assert dc.decontaminate(table(DOCS), items.limit(0)).count() == len(DOCS)
