@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, html_wrappers, jaccard_join, pii, quality, sentencepiece_sampler,
-               substring_dedup, suffix_dedup, url_filter)
+from . import (decontaminate, exact_dedup, html_wrappers, jaccard_join, pii, quality, quality_rules,
+               sentencepiece_sampler, substring_dedup, suffix_dedup, url_filter, whitening)
 
 
 def _t(spark, sf_dir, name):
@@ -66,8 +66,20 @@ def op10_sentencepiece(spark, sf_dir):
     return out.select(F.col("_id").alias("doc_id"), "n_tokens", "ids", "lossless")
 
 
+def op12_whitening(spark, sf_dir):
+    out = whitening.whitening(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumnRenamed("_id", "vec_id")
+
+
+def op13_quality_rules(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.train(docs, _t(spark, sf_dir, "labels"))
+    return quality_rules.quality_rules(docs, model).withColumnRenamed("_id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_quality, op3_decontaminate, op4_pii, op5_suffix_dedup, op6_html, op7_exact_dedup, op8_url_filter, op9_substring_dedup, op10_sentencepiece)}
+    op1_ngram_jaccard, op2_quality, op3_decontaminate, op4_pii, op5_suffix_dedup, op6_html, op7_exact_dedup,
+    op8_url_filter, op9_substring_dedup, op10_sentencepiece, op12_whitening, op13_quality_rules)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
