@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, html_wrappers, jaccard_join, pii, quality, quality_rules,
+from . import (decontaminate, exact_dedup, html_wrappers, jaccard_join, pii, prefix_trie, quality, quality_rules,
                sentencepiece_sampler, substring_dedup, suffix_dedup, url_filter, whitening)
 
 
@@ -66,6 +66,10 @@ def op10_sentencepiece(spark, sf_dir):
     return out.select(F.col("_id").alias("doc_id"), "n_tokens", "ids", "lossless")
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op12_whitening(spark, sf_dir):
     out = whitening.whitening(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return out.withColumnRenamed("_id", "vec_id")
@@ -79,7 +83,7 @@ def op13_quality_rules(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_quality, op3_decontaminate, op4_pii, op5_suffix_dedup, op6_html, op7_exact_dedup,
-    op8_url_filter, op9_substring_dedup, op10_sentencepiece, op12_whitening, op13_quality_rules)}
+    op8_url_filter, op9_substring_dedup, op10_sentencepiece, op11_prefix_trie, op12_whitening, op13_quality_rules)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
@@ -109,4 +113,49 @@ ORACLE_SQL = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM w""",
+    "op11_prefix_trie": r"""
+        WITH crc AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+                   CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) r(i)),
+        said AS (
+            SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        digest AS (
+            SELECT c, turn, sha256(octet_length(encode(role)) || ':' || role || text) AS g,
+                   octet_length(encode(text)) AS bytes
+            FROM said),
+        turns AS (
+            SELECT c, g, bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) - 1 AS pos FROM digest),
+        convs AS (
+            SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                   string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, b:
+                   xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 9 AS h
+            FROM (SELECT DISTINCT c FROM turns), crc),
+        seams AS (
+            SELECT c, base, h, least(h, (SELECT count(*) FROM turns t WHERE t.c = v.base)) AS hb FROM convs v),
+        rebuilt AS (
+            SELECT s.c, t.pos + 1 AS depth, g, bytes FROM seams s JOIN turns t ON t.c = s.base AND t.pos < s.h
+            UNION ALL
+            SELECT s.c, hb + t.pos - h + 1, g, bytes FROM seams s JOIN turns t ON t.c = s.c AND t.pos >= s.h
+            UNION ALL
+            SELECT c, 0, '', 0 FROM seams),
+        paths AS (
+            SELECT c, depth, bytes, sha256(string_agg(g, ',' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth)) AS k,
+                   depth = max(depth) OVER (PARTITION BY c) AS ends
+            FROM rebuilt),
+        linked AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY depth) AS up FROM paths),
+        nodes AS (
+            SELECT k, any_value(up) AS up, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+                   (count(*) - 1) * any_value(bytes) AS saved,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM linked GROUP BY k),
+        kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+        sums AS (
+            SELECT p.k, sum(n.saved) AS saved_tokens, count(*) FILTER (d.n IS NULL) AS n_leaves
+            FROM nodes n JOIN paths p ON p.c = n.conv_id AND p.depth <= n.depth LEFT JOIN kids d ON d.k = n.k
+            GROUP BY p.k)
+        SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs,
+               coalesce(d.n, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s ON s.k = n.k LEFT JOIN kids d ON d.k = n.k LEFT JOIN nodes u ON u.k = n.up""",
 }
