@@ -1,8 +1,9 @@
 """Per-document helper for E1: the four text-run lists of one article XML.
 
 This is the small per-row Python step of the ingest job; Spark partitions the
-files and runs it inside ``mapInArrow`` tasks. It uses the standard library
-parser (expat), which never fetches external DTDs.
+files and runs it inside ``mapInArrow`` tasks. It drives the standard library's
+expat parser, which never fetches external DTDs, and keeps no tree: what it holds
+is the open elements, the text node at hand and the runs found so far.
 
 Rules (XPath 1.0 reading of the original expressions):
 
@@ -15,6 +16,7 @@ Rules (XPath 1.0 reading of the original expressions):
   in document order, each once even when such elements nest.
 * Comments and processing instructions split text nodes and contribute no
   text; CDATA is plain text.
+* A reference to an entity that the document does not define makes it malformed.
 """
 
 from __future__ import annotations
@@ -26,79 +28,108 @@ ARTICLE_TITLE = "article-title"
 ABSTRACT = "abstract"
 BODY = "body"
 
+#: Bytes given to the parser at a time.
+FEED_BYTES = 1 << 20
+
+
+class _Open:
+    """An element that has started: what its first children were, and the run its text starts."""
+
+    __slots__ = ("name", "has_id", "has_group", "has_title", "is_group", "slot")
+
+    def __init__(self, name, is_group, slot):
+        self.name, self.is_group, self.slot = name, is_group, slot
+        self.has_id = self.has_group = self.has_title = False
+
+
+class RunsReader:
+    """Feed it an article piece by piece; ``close`` gives the four run lists."""
+
+    def __init__(self):
+        from xml.parsers import expat
+
+        # The separator puts elements of a namespace under another name than plain ones.
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.buffer_text = True
+        parser.ordered_attributes = True
+        parser.StartElementHandler = self._start
+        parser.EndElementHandler = self._end
+        parser.CharacterDataHandler = self._text
+        parser.CommentHandler = self._split
+        parser.ProcessingInstructionHandler = self._split
+        parser.SkippedEntityHandler = self._unknown
+        self._parser = parser
+        self._open: list[_Open] = []
+        self._piece: list[str] = []
+        self._inside = {ABSTRACT: 0, BODY: 0}
+        # A run's place is taken when its element starts and filled by its first text node.
+        self._runs: dict[str, list] = {"pmcid": [], "title": [], "abstract": [], "body_text": []}
+
+    def _unknown(self, name, is_parameter):
+        if not is_parameter:
+            raise ValueError(f"undefined entity &{name};")
+
+    def _text(self, data):
+        if self._inside[ABSTRACT] or self._inside[BODY] or (self._open and self._open[-1].slot):
+            self._piece.append(data)
+
+    def _split(self, *_):
+        """The text node at hand ends here."""
+        if not self._piece:
+            return
+        text = "".join(self._piece)
+        self._piece.clear()
+        top = self._open[-1]
+        if top.slot:
+            name, place = top.slot
+            self._runs[name][place] = text
+            top.slot = None
+        if self._inside[ABSTRACT]:
+            self._runs["abstract"].append(text)
+        if self._inside[BODY]:
+            self._runs["body_text"].append(text)
+
+    def _place(self, name):
+        self._runs[name].append(None)
+        return name, len(self._runs[name]) - 1
+
+    def _start(self, name, _attributes):
+        self._split()
+        up = self._open[-1] if self._open else None
+        is_group, slot = False, None
+        if up is not None:
+            if name == ARTICLE_ID and not up.has_id:
+                up.has_id, slot = True, self._place("pmcid")
+            elif name == TITLE_GROUP and not up.has_group:
+                up.has_group, is_group = True, True
+            elif name == ARTICLE_TITLE and up.is_group and not up.has_title:
+                up.has_title, slot = True, self._place("title")
+        self._open.append(_Open(name, is_group, slot))
+        if name in self._inside:
+            self._inside[name] += 1
+
+    def _end(self, name):
+        self._split()
+        self._open.pop()
+        if name in self._inside:
+            self._inside[name] -= 1
+
+    def feed(self, data) -> None:
+        self._parser.Parse(data, False)
+
+    def close(self) -> dict:
+        self._parser.Parse(b"", True)
+        return {name: [t for t in runs if t is not None] for name, runs in self._runs.items()}
+
 
 def parse_runs(data: bytes) -> tuple[dict | None, str | None]:
     """Return ``({pmcid, title, abstract, body_text: list[str]}, None)`` or ``(None, reason)``."""
-    import xml.etree.ElementTree as ET
+    from xml.parsers import expat
 
+    reader, view = RunsReader(), memoryview(data)
     try:
-        parser = ET.XMLParser(target=ET.TreeBuilder(insert_comments=True, insert_pis=True))
-        parser.feed(data)
-        root = parser.close()
-    except ET.ParseError as exc:
+        for start in range(0, len(view), FEED_BYTES):
+            reader.feed(view[start:start + FEED_BYTES])
+        return reader.close(), None
+    except (expat.ExpatError, ValueError, LookupError) as exc:
         return None, f"malformed: {exc}"
-    except (ValueError, LookupError) as exc:
-        return None, f"malformed: {exc}"
-
-    def is_element(node) -> bool:
-        return isinstance(node.tag, str)
-
-    def first_text(node):
-        if node.text:
-            return node.text
-        for child in node:
-            if child.tail:
-                return child.tail
-        return None
-
-    def first_child(node, name):
-        for child in node:
-            if is_element(child) and child.tag == name:
-                return child
-        return None
-
-    pmcid, title, abstract, body = [], [], [], []
-    # Elements whose first text node is a pmcid / title run, found from their
-    # parents and collected when the walk reaches them (document order).
-    id_nodes, title_nodes = set(), set()
-    # Iterative pre-order walk. Entries: (node, inside_abstract, inside_body);
-    # a tail is pushed as a plain string right after its element's subtree.
-    stack = [(root, False, False)]
-    while stack:
-        node, in_abs, in_body = stack.pop()
-        if isinstance(node, str):
-            if in_abs:
-                abstract.append(node)
-            if in_body:
-                body.append(node)
-            continue
-        if not is_element(node):  # comment or processing instruction
-            continue
-        in_abs = in_abs or node.tag == ABSTRACT
-        in_body = in_body or node.tag == BODY
-        if id(node) in id_nodes:
-            t = first_text(node)
-            if t:
-                pmcid.append(t)
-        if id(node) in title_nodes:
-            t = first_text(node)
-            if t:
-                title.append(t)
-        ident = first_child(node, ARTICLE_ID)
-        if ident is not None:
-            id_nodes.add(id(ident))
-        group = first_child(node, TITLE_GROUP)
-        if group is not None:
-            art_title = first_child(group, ARTICLE_TITLE)
-            if art_title is not None:
-                title_nodes.add(id(art_title))
-        if node.text:
-            if in_abs:
-                abstract.append(node.text)
-            if in_body:
-                body.append(node.text)
-        for child in reversed(list(node)):
-            if child.tail:
-                stack.append((child.tail, in_abs, in_body))
-            stack.append((child, in_abs, in_body))
-    return {"pmcid": pmcid, "title": title, "abstract": abstract, "body_text": body}, None

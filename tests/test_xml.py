@@ -1,5 +1,6 @@
 """S1 / E1 on the XML fixtures of FIXTURES.md."""
 
+from scriptorium.functions import xml_runs
 from scriptorium.functions.xml_runs import parse_runs
 from scriptorium.sources import articles as src
 
@@ -36,6 +37,81 @@ def test_parse_rules():
     assert parse_runs(b"<a>&foo;</a>")[0] is None
 
 
+def test_places_and_splits():
+    runs, _ = parse_runs(b"<a><article-id><b>in</b>late<!--c-->later</article-id><article-id>no</article-id>"
+                         b"<p><article-id/><article-id>second</article-id></p><q><article-id>Z</article-id></q></a>")
+    assert runs["pmcid"] == ["late", "Z"]
+    runs, _ = parse_runs(b"<a><title-group><x/><article-title>one</article-title><article-title>two</article-title>"
+                         b"</title-group><title-group><article-title>three</article-title></title-group>"
+                         b"<article-title>four</article-title></a>")
+    assert runs["title"] == ["one"]
+    runs, _ = parse_runs(b"<a><abstract>x<?pi y?>z<body>both</body></abstract>out<body/></a>")
+    assert runs["abstract"] == ["x", "z", "both"] and runs["body_text"] == ["both"]
+    runs, _ = parse_runs(b'<a xmlns="urn:n"><body>other name</body><b xmlns=""><body>plain</body></b></a>')
+    assert runs["body_text"] == ["plain"]
+    runs, _ = parse_runs(b'<!DOCTYPE a [<!ENTITY e "in &lt; out">]><a><body>x &e; y &amp;</body></a>')
+    assert runs["body_text"] == ["x in < out y &"]
+    for bad in (b"", b"<a/><b/>", b"text", b"<a>\x00</a>", b'<?xml version="1.0" encoding="none"?><a/>',
+                b'<!DOCTYPE a SYSTEM "x.dtd"><a><body>&foo;</body></a>', "<a>\ud7ff".encode()):
+        assert parse_runs(bad)[0] is None and parse_runs(bad)[1].startswith("malformed: ")
+
+
+def test_text_over_feed_borders(monkeypatch):
+    text = "".join(chr(0x100 + n % 5000) for n in range(30000))
+    data = full(body=f"{text}<!--c-->{text}", title=text).encode()
+    whole, _ = parse_runs(data)
+    for size in (1, 777):
+        monkeypatch.setattr(xml_runs, "FEED_BYTES", size)
+        assert parse_runs(data) == (whole, None)
+    assert whole["body_text"] == [text, text] and whole["title"] == [text]
+
+
+def test_a_long_file_needs_memory_for_its_runs_only():
+    import tracemalloc
+
+    back = b"<ref><p>" + b"words of a reference " * 50 + b"</p></ref>"
+    data = (full()[:-len("</article>")].encode() + b"<back>" + back * (200_000_000 // len(back)) + b"</back></article>")
+    tracemalloc.start()
+    runs, err = parse_runs(data)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert err is None and runs["body_text"] == ["B"] and len(data) > 199_000_000
+    assert peak < 4_000_000
+
+
+def test_a_file_over_the_limit_is_a_reject(spark, tmp_path):
+    root = tmp_path / "xml"
+    write(root, "small.xml", full(pid="PMC1"))
+    write(root, "big.xml", full(pid="PMC2", body="b" * 5000))
+    res = src.scan_articles(spark, str(root), max_file_bytes=4000)
+    assert [r["pmcid"] for r in res.articles.collect()] == ["PMC1"]
+    (reject,) = res.rejects.collect()
+    assert reject["path"].endswith("big.xml") and reject["reason"].startswith("too long: ")
+    # Without a limit of its own, the scan takes what binaryFile can read.
+    name = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(name, "4000")
+    try:
+        res = src.scan_articles(spark, str(root))
+        assert [r["pmcid"] for r in res.articles.collect()] == ["PMC1"] and res.rejects.count() == 1
+    finally:
+        spark.conf.unset(name)
+
+
+def test_numbering_moves_keys_only(spark, tmp_path):
+    rows = [(f"/f{i:03}", f"PMC{i % 7}", "t", "a", "body " * 50, None) for i in range(100)]
+    spark.createDataFrame(rows, src.PARSED_SCHEMA).write.parquet(str(tmp_path / "parsed"))
+    seen = []
+    plain = src.assign_ids
+    try:
+        src.assign_ids = lambda df, *a, **k: (seen.append(df.columns), plain(df, *a, **k))[1]
+        out = src.number_articles(spark.read.parquet(str(tmp_path / "parsed")))
+    finally:
+        src.assign_ids = plain
+    assert seen == [["pmcid", "path"]]
+    got = {(r.pmcid, r.path): r.corpus_id for r in out.collect()}
+    assert got == {k: n for n, k in enumerate(sorted((r[1], r[0]) for r in rows))}
+
+
 def test_scan_articles(spark, tmp_path):
     root = tmp_path / "xml"
     write(root, "a/plain.xml", full(pid="PMC1"))
