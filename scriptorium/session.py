@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job in this package relies on; applied only where the session
 # does not already carry a value.
@@ -103,3 +104,16 @@ def materialize(df, name: str = "table"):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: A stored table that measures at most this many bytes may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_within(stored, row_bytes, limit_bytes: int = BROADCAST_BYTES):
+    """A broadcast hint for a stored table whose rows add up to ``limit_bytes`` at most, else the table.
+
+    ``row_bytes`` is a column that estimates one row; both plans give the same rows.
+    """
+    total = stored.agg(F.sum(row_bytes.cast("long"))).first()[0]
+    return F.broadcast(stored) if (total or 0) <= limit_bytes else stored

@@ -3,13 +3,14 @@
 S1 ingest plan::
 
     binaryFile scan (recursive, *.xml)            -- one row per file, split by Spark
-      -> mapInArrow: E1 text runs per file         -- per-row Python helper
-      -> written once (runs + errors)              -- one parse feeds corpus and rejects
-      -> E3 join_runs / E4 require_fields          -- built-in expressions
-      -> corpus_id: range-sort by (pmcid, path), per-partition offsets
-
-No shuffle happens before the id assignment; the id assignment shuffles once
-(range partitioning) and never pulls a partition into one task.
+      -> files over the size limit to the rejects   -- from the listing, unread
+      -> mapInArrow: E1 text runs per file          -- per-row Python helper
+      -> E3 join_runs / E4 require_fields           -- built-in expressions
+      -> written once (fields + reason)             -- one parse feeds corpus and rejects
+      -> corpus_id: range sort of (pmcid, path) alone, per-partition offsets
+      -> ids joined back by path                    -- broadcast while small
+
+Text never enters the range exchange, and no step pulls a partition into one task.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import scratch_path
-from . import tables
+from ..session import broadcast_within, materialize, scratch_path
+from .files import Folder
 
 RUNS_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -41,12 +42,18 @@ CORPUS_SCHEMA = T.StructType([
     T.StructField("body_text", T.StringType(), False),
 ])
 
+PARSED_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    *CORPUS_SCHEMA.fields[1:],
+    T.StructField("reason", T.StringType(), True),
+])
+
 DATA_TYPES = ("dataset", "embeddings")
 
 
 @dataclass
 class ScanResult:
-    runs: DataFrame      # path, four run lists, error
+    parsed: DataFrame    # path, the four fields, reason (null when kept)
     articles: DataFrame  # corpus_id, pmcid, title, abstract, body_text
     rejects: DataFrame   # path, reason
 
@@ -110,13 +117,31 @@ def _parse_runs_factory():
     return xml_runs.parse_runs
 
 
-def read_xml_files(spark: SparkSession, source: str) -> DataFrame:
-    """Every ``*.xml`` file below ``source`` (recursive), as ``(path, content)``."""
+def list_xml_files(spark: SparkSession, source: str) -> DataFrame:
+    """Every ``*.xml`` file below ``source`` (recursive): ``path, length, content``."""
     return (spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.xml")
             .load(source)
-            .select("path", "content"))
+            .select("path", "length", "content"))
+
+
+def file_limit(spark: SparkSession) -> int:
+    """The longest file that ``binaryFile`` reads into one row."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
+
+
+def read_xml_files(spark: SparkSession, source: str, max_bytes: int | None = None) -> DataFrame:
+    """``(path, content)`` of the files of at most ``max_bytes`` (default: what ``binaryFile`` reads)."""
+    limit = file_limit(spark) if max_bytes is None else max_bytes
+    return list_xml_files(spark, source).filter(F.col("length") <= limit).select("path", "content")
+
+
+def oversized_files(spark: SparkSession, source: str, max_bytes: int | None = None) -> DataFrame:
+    """``(path, reason)`` of the files above the limit; found in the listing, never read."""
+    limit = file_limit(spark) if max_bytes is None else max_bytes
+    return list_xml_files(spark, source).filter(F.col("length") > limit).select(
+        "path", F.format_string("too long: %d bytes, at most %d are read", F.col("length"), F.lit(limit)).alias("reason"))
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], id_col: str = "corpus_id",
@@ -144,20 +169,34 @@ def assign_ids(df: DataFrame, order_cols: list[str], id_col: str = "corpus_id",
     return out.drop("_mono", "_pid", "_off")
 
 
-def scan_articles(spark: SparkSession, source: str, materialize_to: str | None = None) -> ScanResult:
+def number_articles(good: DataFrame) -> DataFrame:
+    """``good`` with ``corpus_id``: dense, in the order of ``(pmcid, path)``.
+
+    Only the two key columns go through the range exchange; the ids come back by
+    ``path``, by a broadcast while they are small. ``good`` is read twice: pass a stored table.
+    """
+    keys = assign_ids(good.select("pmcid", "path"), ["pmcid", "path"])
+    ids = materialize(keys.select("path", "corpus_id"), "article-ids")
+    return good.join(broadcast_within(ids, F.octet_length("path") + 24), "path")
+
+
+def scan_articles(spark: SparkSession, source: str, materialize_to: str | None = None,
+                  max_file_bytes: int | None = None) -> ScanResult:
     """XML files below ``source`` -> article corpus plus a rejects table.
 
     The parse runs once: its output is written (to ``materialize_to`` or a
     folder below the shared checkpoint directory) and both outputs read it.
+    A file of more than ``max_file_bytes`` is a reject, like a malformed one.
     """
-    runs_path = materialize_to or scratch_path(spark, "xml-runs")
-    parse_documents(read_xml_files(spark, source)).write.mode("overwrite").parquet(runs_path)
-    runs = spark.read.schema(RUNS_SCHEMA).parquet(runs_path)
-    done = finish_runs(runs)
-    good = done.filter(tables.held(F.col("reason").isNull()))
-    rejects = done.filter(tables.held(F.col("reason").isNotNull())).select("path", "reason")
-    articles = assign_ids(good, ["pmcid", "path"]).select(*CORPUS_SCHEMA.fieldNames())
-    return ScanResult(runs=runs, articles=articles, rejects=rejects)
+    path = materialize_to or scratch_path(spark, "xml-parsed")
+    done = finish_runs(parse_documents(read_xml_files(spark, source, max_file_bytes)))
+    done.select(*PARSED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path)
+    parsed = spark.read.schema(PARSED_SCHEMA).parquet(path)
+    good = parsed.filter(F.col("reason").isNull())
+    rejects = parsed.filter(F.col("reason").isNotNull()).select("path", "reason").unionByName(
+        oversized_files(spark, source, max_file_bytes))
+    articles = number_articles(good).select(*CORPUS_SCHEMA.fieldNames())
+    return ScanResult(parsed=parsed, articles=articles, rejects=rejects)
 
 
 def write_corpus(df: DataFrame, target: str, max_shard_bytes: int = 100 * 1024 * 1024,
@@ -212,23 +251,12 @@ def lookup_articles(requests: DataFrame, articles: DataFrame,
             .withColumn("found", F.col("corpus_id").isNotNull()))
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jpath):
-        return False
-    return len(fs.listStatus(jpath)) > 0
-
-
 def load_or_create_embeddings(spark: SparkSession, root: str, dataset_name: str, build) -> DataFrame:
-    """Read stored embeddings, or compute them with ``build()`` and store them first."""
+    """Read stored embeddings, or compute them with ``build()`` and store them first.
+
+    A folder left half-written by a lost driver is built anew.
+    """
     path = data_path(root, dataset_name, "embeddings")
-    if not _has_files(spark, path):
+    if not Folder(spark, path).complete():
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-# Re-exported for callers that work on the driver tables.
-read_articles = tables.read_articles
-read_corpus_embeddings = tables.read_corpus_embeddings

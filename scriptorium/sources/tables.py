@@ -80,8 +80,14 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
     return require_fields(articles_from_runs(article_runs_from_documents(documents)))
 
 
-def read_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_articles(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    """The corpus of the ``documents`` table; with ``ids (corpus_id)``, those articles only.
+
+    Other documents are dropped before any text is cleaned.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    if ids is not None:
+        docs = docs.join(ids.select(F.col("corpus_id").alias("doc_id")), "doc_id", "left_semi")
     return articles_from_documents(spread(docs))
 
 
