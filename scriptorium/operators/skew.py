@@ -1,9 +1,10 @@
 """Equi-joins whose left side may hold one key in a third of all rows.
 
-``lookup_join`` finds the frequent keys of the left side with a frequency sketch (a
-bounded summary per task, merged), broadcasts the right rows of those keys when their
-measured bytes fit, and joins everything else by an ordinary shuffle. Rows of a
-frequent key then stay in the tasks they are in; the result is that of the plain join.
+``lookup_join`` measures the right side: when it fits whole, it is broadcast. Else the
+frequent keys of the left side are found with a frequency sketch (a bounded summary per
+task, merged), the right rows of those keys are broadcast as far as their measured bytes
+fit, and everything else is joined by an ordinary shuffle. Rows of a frequent key then stay
+in the tasks they are in; the result is that of the plain join either way.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    size = (row_bytes if row_bytes is not None else F.lit(100)).cast("long")
+    if (right.agg(F.sum(size)).first()[0] or 0) <= limit_bytes:
+        return left.join(F.broadcast(right), on, how)
     code = F.xxhash64(*on)
     hot = frequent_keys(left, code, top, least=least)
-    size = (row_bytes if row_bytes is not None else F.lit(100)).cast("long")
     first = right.select("*", code.alias("_code"), size.alias("_size"))
     first = first.join(F.broadcast(hot), F.col("_code") == F.col("_hot"))
     # All rows of a key go together; at most ``top`` keys are left for this window.
