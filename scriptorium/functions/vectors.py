@@ -1,4 +1,4 @@
-"""Vector expressions (R3 and norms), built-in higher-order functions only."""
+"""Vector expressions (R3), built-in higher-order functions only."""
 
 from __future__ import annotations
 
@@ -18,16 +18,3 @@ def dot_score(a, b) -> Column:
     products = F.zip_with(_col(a), _col(b),
                           lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
-def l2_norm(v) -> Column:
-    squares = F.transform(_col(v), lambda x: x.cast("double") * x.cast("double"))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0).cast("double"), lambda acc, x: acc + x))
-
-
-def l2_normalize(v) -> Column:
-    """Scale to unit length; a zero vector stays zero (no division by zero)."""
-    v = _col(v)
-    norm = l2_norm(v)
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(
-        F.transform(v, lambda x: x.cast("double") * 0.0))

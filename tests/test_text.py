@@ -1,7 +1,5 @@
 """E2-E7 string cases (FIXTURES.md) and a property test of the single-pass join."""
 
-import re
-
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,14 +7,40 @@ from pyspark.sql import types as T
 
 from scriptorium.functions import text as tx
 
-# Plain statement of the cleaning rule, used as the oracle.
-PY_PATTERN = r"[\r\n\t]|{.*?}|\\.*?{.*?}"
+
+def cleaned(run):
+    """The cleaning rule read off character by character: what a left-to-right scan takes out.
+
+    A line break or tab; a brace group on one line; a backslash up to the first brace group after it
+    on its line.
+    """
+    out, i = [], 0
+    while i < len(run):
+        line = run.find("\n", i)
+        line = len(run) if line < 0 else line
+        taken = 0
+        if run[i] in "\r\n\t":
+            taken = 1
+        elif run[i] in "{\\":
+            # A backslash may be followed by any characters before its group opens.
+            start = i if run[i] == "{" else run.find("{", i, line)
+            end = run.find("}", start + 1, line) if start >= 0 else -1
+            taken = end + 1 - i if end >= 0 else 0
+        out.append(" " if taken else run[i])
+        i += taken or 1
+    return "".join(out)
 
 
 def py_join_runs(runs):
-    if not runs:
-        return None
-    return " ".join(re.sub(PY_PATTERN, " ", r) for r in runs).strip()
+    """Each run cleaned, then all in one line, then without outer white space."""
+    text = ""
+    for n, run in enumerate(runs):
+        text += (" " if n else "") + cleaned(run)
+    while text and text[0].isspace():
+        text = text[1:]
+    while text and text[-1].isspace():
+        text = text[:-1]
+    return text if runs else None
 
 
 def one(spark, col_expr, value, dtype=T.StringType()):
