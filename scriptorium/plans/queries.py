@@ -15,11 +15,13 @@ from ..functions.vectors import dot_score
 from ..operators import answers as ans
 from ..operators import cache as ch
 from ..operators import encode as enc
+from ..operators import index
 from ..operators import prompts as pr
 from ..operators import rerank as rr
 from ..operators import retrieve as rt
 from ..sources import articles as src
 from ..sources import config as cfg
+from ..sources import layout
 from ..sources import tables
 from ..session import materialize, scratch_path
 from . import pipeline as pl
@@ -136,7 +138,8 @@ def _corpus_given(spark, sf, articles):
 
 
 def q14_supporting_docs(spark, sf):
-    keys = materialize(_articles(spark, sf).select("corpus_id", "pmcid"), "article-keys")
+    arts = tables.read_articles(spark, sf, _given_vectors(spark, sf))
+    keys = materialize(arts.select("corpus_id", "pmcid"), "article-keys")
     return _given_docs(spark, sf, keys).select(
         "request_id", "corpus_id", "score", "retrieval_rank", "pmcid")
 
@@ -152,7 +155,8 @@ def _given_docs(spark, sf, arts):
 
 
 def _scored_given(spark, sf):
-    arts = _stored_articles(spark, sf)
+    # Requests and hits all have a given vector: other articles need no cleaning.
+    arts = materialize(tables.read_articles(spark, sf, _given_vectors(spark, sf)), "articles")
     docs = materialize(_given_docs(spark, sf, arts).select(
         "request_id", "request_cid", "corpus_id", "retrieval_rank"), "hits")
     return rr.score_pairs(docs, arts)
@@ -281,19 +285,23 @@ def q29_summarize(spark, sf):
     return pl.summarize(_all_requests(arts), arts, _hashed_corpus(arts), digits=DIGITS)
 
 
-def q30_parse_articles(spark, sf):
-    """An article XML file made of each document, and the pages, which are no XML."""
-    def esc(col):
-        return F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-
+def _article_xml(escapes):
+    """The article XML of a document: title, abstract and body are its lines 1, 2 and the rest."""
     line = F.split(F.coalesce("text", F.lit("")), "\n", 3)
-    part = [esc(F.coalesce(F.get(line, F.lit(i)), F.lit(""))) for i in range(3)]
-    xml = F.concat(
+    part = [F.coalesce(F.get(line, F.lit(i)), F.lit("")) for i in range(3)]
+    for sign, name in escapes:
+        part = [F.replace(p, F.lit(sign), F.lit(f"&{name};")) for p in part]
+    return F.concat(
         F.lit("<article><article-id>PMC"), F.col("doc_id").cast("string"),
         F.lit("</article-id><title-group><article-title>"), part[0],
         F.lit("<italic>i</italic>after</article-title></title-group><abstract><p>"), part[1],
         F.lit("</p></abstract><body><p>"), part[2],
         F.lit("<!-- no text --><![CDATA[ x<y ]]></p></body></article>"))
+
+
+def q30_parse_articles(spark, sf):
+    """An article XML file made of each document, and the pages, which are no XML."""
+    xml = _article_xml([("&", "amp"), ("<", "lt")])
     docs = _t(spark, sf, "documents").select(_pmc("doc_id").alias("path"), F.encode(xml, "UTF-8").alias("content"))
     pages = _t(spark, sf, "pages").select(
         F.concat(F.lit("page"), F.col("page_id").cast("string")).alias("path"),
@@ -304,6 +312,41 @@ def q30_parse_articles(spark, sf):
                        kept.alias("kept"))
 
 
+def q31_scan_xml_files(spark, sf):
+    """S1 from files: every document is written as an XML file of its own, then all are scanned."""
+    folder = scratch_path(spark, "article-files")
+    # The text writer for delimited rows is the one that lets the file extension be chosen. Line ends
+    # and quotes are written as references, so that a file holds the XML alone.
+    xml = _article_xml([("&", "amp"), ("<", "lt"), ('"', "quot"), ("\n", "#10"), ("\r", "#13")])
+    docs = tables.spread(_t(spark, sf, "documents").select("doc_id", xml.alias("xml")))
+    docs.write.partitionBy("doc_id").option("extension", "xml").option("sep", "\x01").csv(folder)
+    scan = src.scan_articles(spark, folder)
+
+    def doc_id(path):
+        return F.regexp_extract(path, "doc_id=([0-9]+)", 1).cast("long").alias("doc_id")
+
+    rejects = scan.rejects.select(doc_id("path"), F.substring_index("reason", ":", 1).alias("status"))
+    return scan.articles.select(
+        F.regexp_extract("pmcid", "[0-9]+", 0).cast("long").alias("doc_id"), F.lit("article").alias("status"),
+        *src.CORPUS_SCHEMA.fieldNames()).unionByName(rejects, allowMissingColumns=True)
+
+
+def q32_keyed_lookup(spark, sf):
+    """S5 on the key-bucketed corpus (S3): the articles of the documents labelled as bad."""
+    path = scratch_path(spark, "keyed-corpus")
+    layout.write_keyed(_articles(spark, sf), path)
+    bad = _t(spark, sf, "labels").filter("quality = 0").select(_pmc("doc_id").alias("request_id"))
+    return layout.KeyedCorpus(spark, path).lookup(bad, ("title", "abstract"))
+
+
+def q33_indexed_top_k(spark, sf):
+    """R4 on a stored index of vector blocks: every vector against all, as in q13."""
+    vecs = _given_vectors(spark, sf)
+    blocks = index.build_index(vecs, scratch_path(spark, "vector-index"))
+    return index.search_index(vecs.select(F.col("corpus_id").alias("request_id"), "embedding"), blocks, TOP_K,
+                              digits=DIGITS)
+
+
 QUERIES = {
     "q01_scan_articles": q01_scan_articles,
     "q02_load_corpus": q02_load_corpus,
@@ -335,6 +378,9 @@ QUERIES = {
     "q28_unpivot_answers": q28_unpivot_answers,
     "q29_summarize": q29_summarize,
     "q30_parse_articles": q30_parse_articles,
+    "q31_scan_xml_files": q31_scan_xml_files,
+    "q32_keyed_lookup": q32_keyed_lookup,
+    "q33_indexed_top_k": q33_indexed_top_k,
 }
 
 
@@ -527,13 +573,13 @@ answers_ AS (
 )"""
 
 
-def _parse_sql() -> str:
+def _parsed_cte() -> str:
     def fields(title, abstract, body):
         return ", ".join(f"{_join_runs_sql(x)} AS {f}" for f, x in
                          (("title", title), ("abstract", abstract), ("body_text", body)))
 
     return f"""
-        WITH l_ AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l,
+        l_ AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l,
                            regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS bad
                     FROM documents),
         p_ AS (SELECT 'PMC' || CAST(doc_id AS VARCHAR) AS pmcid, bad, coalesce(l[1], '') AS t,
@@ -541,7 +587,12 @@ def _parse_sql() -> str:
         f_ AS (SELECT pmcid, bad, {fields("[CASE WHEN t = '' THEN 'after' ELSE t END]",
                                           "CASE WHEN a = '' THEN [] ELSE [a] END",
                                           "CASE WHEN b = '' THEN [' x<y '] ELSE [b, ' x<y '] END")} FROM p_),
-        k_ AS (SELECT *, NOT bad AND title <> '' AND coalesce(abstract, '') <> '' AND body_text <> '' AS kept FROM f_)
+        k_ AS (SELECT *, NOT bad AND title <> '' AND coalesce(abstract, '') <> '' AND body_text <> '' AS kept FROM f_)"""
+
+
+def _parse_sql() -> str:
+    return f"""
+        WITH {_parsed_cte()}
         SELECT pmcid AS path, CASE WHEN kept THEN pmcid END AS pmcid, CASE WHEN kept THEN title END AS title,
                CASE WHEN kept THEN abstract END AS abstract, CASE WHEN kept THEN body_text END AS body_text, kept
         FROM k_
@@ -627,4 +678,16 @@ ORACLE_SQL = {
         f"SELECT pmc_id AS request_id, '{k}' AS audience, '{k} ' || said AS summary FROM answers_" for k in _KEYS),
     "q29_summarize": _wide_sql(),
     "q30_parse_articles": _parse_sql(),
+    "q31_scan_xml_files": f"""WITH {_parsed_cte()}
+        SELECT substr(pmcid, 4)::BIGINT AS doc_id,
+               CASE WHEN kept THEN 'article' WHEN bad THEN 'malformed' ELSE 'missing' END AS status,
+               CASE WHEN kept THEN row_number() OVER (PARTITION BY kept ORDER BY pmcid) - 1 END AS corpus_id,
+               CASE WHEN kept THEN pmcid END AS pmcid, CASE WHEN kept THEN title END AS title,
+               CASE WHEN kept THEN abstract END AS abstract, CASE WHEN kept THEN body_text END AS body_text
+        FROM k_""",
+    "q32_keyed_lookup": f"""WITH {ARTICLES_CTE}
+        SELECT 'PMC' || CAST(l.doc_id AS VARCHAR) AS request_id, a.corpus_id, a.title, a.abstract,
+               a.corpus_id IS NOT NULL AS found
+        FROM labels l LEFT JOIN articles a ON a.corpus_id = l.doc_id WHERE l.quality = 0""",
 }
+ORACLE_SQL["q33_indexed_top_k"] = ORACLE_SQL["q13_retrieve_top_k"]
