@@ -88,27 +88,19 @@ def _scores(words: Words, texts: list[bytes], weights: np.ndarray) -> np.ndarray
     return out
 
 
-def _features(batches):
-    """Labelled texts as (place, value) arrays."""
-    for batch, texts in text_chunks(batches):
-        words = Words(texts)
-        kinds = _grams(words, texts)
-        places, values, ends = [], [], []
-        key = [doc.astype(np.int64) * (2 * _PLACES) + place for place, doc in kinds]
-        found = [np.unique(k, return_counts=True) for k in key]
-        cells = np.concatenate([k for k, _ in found])
-        value = np.concatenate([n * s[k // (2 * _PLACES)] for (k, n), s in
-                                zip(found, _shares(kinds, len(texts)), strict=True)])
-        order = np.argsort(cells, kind="stable")
-        cells, value = cells[order], value[order].astype(np.float32)
-        ends = np.searchsorted(cells, np.arange(1, len(texts) + 1) * (2 * _PLACES))
-        starts = np.concatenate(([0], ends[:-1]))
-        place = (cells % (2 * _PLACES)).astype(np.int32)
-        places = [place[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        values = [value[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_shard"), batch.column("_h"), batch.column("_y"), pa.array(places, pa.binary()),
-             pa.array(values, pa.binary())], ["_shard", "_h", "_y", "places", "values"])
+def _features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places and values of each text."""
+    kinds = _grams(Words(texts), texts)
+    key = [doc.astype(np.int64) * (2 * _PLACES) + place for place, doc in kinds]
+    found = [np.unique(k, return_counts=True) for k in key]
+    cells = np.concatenate([k for k, _ in found])
+    value = np.concatenate([n * s[k // (2 * _PLACES)] for (k, n), s in
+                            zip(found, _shares(kinds, len(texts)), strict=True)])
+    order = np.argsort(cells, kind="stable")
+    cells, value = cells[order], value[order].astype(np.float32)
+    ends = np.searchsorted(cells, np.arange(1, len(texts) + 1) * (2 * _PLACES))
+    place = (cells % (2 * _PLACES)).astype(np.int32)
+    return [(place[a:b], value[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> float:
@@ -182,16 +174,19 @@ def _fit_shards(batches):
         return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([w.tobytes()], pa.binary())],
                                           ["rows", "weights"])
 
-    for batch in batches:
-        for s, y, p, v in zip(*(batch.column(c).to_pylist() for c in ("_shard", "_y", "places", "values")),
-                              strict=True):
+    for batch, texts in text_chunks(batches):
+        shards, marks = batch.column("_shard").to_pylist(), batch.column("_y").to_pylist()
+        full = len(held) >= SHARD_ROWS or entries > SHARD_ENTRIES
+        if full and shards[0] == shards[-1] == shard:
+            continue
+        for s, y, (place, value) in zip(shards, marks, _features(texts), strict=True):
             if s != shard:
                 if held and (out := fitted()) is not None:
                     yield out
                 shard, entries, held = s, 0, []
-            entries += len(p) // 4
-            if p and len(held) < SHARD_ROWS and entries <= SHARD_ENTRIES:
-                held.append((bool(y), np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)))
+            entries += len(place)
+            if len(place) and len(held) < SHARD_ROWS and entries <= SHARD_ENTRIES:
+                held.append((bool(y), place.copy(), value.copy()))
     if held and (out := fitted()) is not None:
         yield out
 
@@ -230,30 +225,30 @@ class Model:
     intercept: float
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``_text, _h, _y`` of each labelled document; equal rows once."""
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``_label, _y`` of the ids with one label."""
     y = F.col(label_col)
     known = labels.filter(F.col(id_col).isNotNull() & y.isin(0, 1)).groupBy(
         F.col(id_col).cast("long").alias("_label")).agg(F.min(y).alias("_y"), F.max(y).alias("_y2"))
-    known = save(known.filter("_y = _y2").select("_label", F.col("_y").cast("boolean").alias("_y")), "quality-labels")
-    rows = id_text(docs, id_col, text_col)
-    rows = rows.join(broadcast_if_small(known), F.col("_id") == F.col("_label"))
-    return rows.select("_id", "_text", "_y", F.xxhash64("_id", "_text").alias("_h"))
+    return save(known.filter("_y = _y2").select("_label", F.col("_y").cast("boolean").alias("_y")), "quality-labels")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Model | None:
     """The calibrated model; None without labelled documents of both kinds."""
     spark = docs.sparkSession
-    rows = _labelled(docs, labels, id_col, text_col, label_col).withColumn("_part", F.pmod("_h", F.lit(HOLD_OUT)))
+    known = broadcast_if_small(_known(labels, id_col, label_col))
+    labelled = F.col("_id") == F.col("_label")
+    rows = id_text(docs, id_col, text_col).join(known, labelled).select(
+        "_text", "_y", F.xxhash64("_id", "_text").alias("_h")).withColumn("_part", F.pmod("_h", F.lit(HOLD_OUT)))
     # Twice the rows that the shards can take, by hash: what is shuffled stays bounded.
-    n = rows.filter("_part > 0").agg(F.approx_count_distinct("_h")).first()[0]
+    ids = docs.select(F.col(id_col).cast("long").alias("_id")).join(known, labelled)
+    n = ids.agg(F.approx_count_distinct("_id")).first()[0]
     share = min(1.0, 2.0 * SHARDS * SHARD_ROWS / max(n, 1))
     chosen = rows.filter("_part > 0").filter(F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) < int(share * (1 << 20)))
     chosen = chosen.groupBy("_h").agg(F.first("_text").alias("_text"), F.first("_y").alias("_y"))
-    features = chosen.select(F.pmod(F.shiftright("_h", 8), F.lit(SHARDS)).cast("int").alias("_shard"), "_h", "_y", "_text")
-    features = features.mapInArrow(_features, "_shard int, _h long, _y boolean, places binary, values binary")
-    fits = features.repartition(SHARDS, "_shard").sortWithinPartitions("_shard", "_h").mapInArrow(
+    sharded = chosen.select(F.pmod(F.shiftright("_h", 8), F.lit(SHARDS)).cast("int").alias("_shard"), "_h", "_y", "_text")
+    fits = sharded.repartition(SHARDS, "_shard").sortWithinPartitions("_shard", "_h").mapInArrow(
         _fit_shards, "rows long, weights binary")
     found = [(r.rows, np.frombuffer(r.weights)) for r in fits.collect()]  # at most SHARDS rows of 2 MB
     if not found:
