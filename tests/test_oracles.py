@@ -11,12 +11,7 @@ import __spark_entry__ as E
 from conftest import SF001
 
 TABLES = ("documents", "embeddings", "pages", "labels", "benchmark", "conversations")
-QUICK = ["q02_load_corpus", "q03_lookup_articles", "q04_clean_text", "q05_join_runs",
-         "q06_require_fields", "q07_article_text", "q08_article_text_keyed", "q09_embedding_text",
-         "q10_cap_papers", "q11_encode_hashing", "q13_retrieve_top_k", "q14_supporting_docs",
-         "q16_rerank_top_k", "q17_retrieve_and_rerank", "q22_get_or_create", "q23_article_records", "q24_import_store_load",
-         "q25_stored_embeddings", "q26_table_answers", "q27_answer_store", "q28_unpivot_answers",
-         "q30_parse_articles"]
+QUICK = sorted(name for name in E.oracle_sql() if name.startswith("q"))
 
 
 def canon(v):

@@ -29,6 +29,16 @@ def test_topk_keeps_partial_limit(spark):
     assert "WindowGroupLimit" in optimized
 
 
+def test_topk_exchanges_once(plans):
+    # one vector per request is settled before, in a stored table; the rank needs one exchange
+    assert plans["q13_retrieve_top_k"].count("Exchange hashpartitioning") <= 2
+
+
+def test_pair_scoring_moves_no_text(plans):
+    # the last plan of the re-rank reads ids and features, no article text
+    assert "body_text" not in plans["q16_rerank_top_k"]
+
+
 def test_vector_scan_is_pruned(plans):
     # the corpus vector scan never reads the label column
     assert "label" not in plans["q13_retrieve_top_k"]
