@@ -18,19 +18,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_text, save
+from .common import BROADCAST_ROWS, helper_names, id_text, save
 
 SPACES = " \t\n\x0b\x0c\r"
 TOP_K = 256
 MAX_ITEMS = 8192
 
 
+def _digest(text):
+    return F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(_id, _digest string, _n)`` of every row, stored once."""
     t = id_text(docs, id_col, text_col)
-    return save(t.select(
-        "_id", F.sha2(F.translate("_text", SPACES, "").cast("binary"), 256).alias("_digest"),
-        F.char_length("_text").cast("long").alias("_n")), "digests")
+    return save(t.select("_id", _digest(F.col("_text")).alias("_digest"),
+                         F.char_length("_text").cast("long").alias("_n")), "digests")
 
 
 def _winners(rows: DataFrame) -> DataFrame:
@@ -43,12 +46,12 @@ def _winners(rows: DataFrame) -> DataFrame:
 def _labelled(rows: DataFrame, winners: DataFrame) -> DataFrame:
     kept = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_n") == F.col("_keep_n"))
     return rows.join(winners, F.col("_digest") == F.col("_key")).select(
-        F.col("_id"), F.col("_keep"), F.col("_size"), kept.alias("_kept"), F.col("_digest"))
+        F.col("_id"), F.col("_keep"), F.col("_size"), kept.alias("_kept"), F.col("_digest"), F.col("_n"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  top_k: int = TOP_K, max_items: int = MAX_ITEMS) -> DataFrame:
-    """One row per document: ``_id, _keep, _size, _kept, _digest``."""
+    """One row per document: ``_id, _keep, _size, _kept, _digest, _n``."""
     rows = digests(docs, id_col, text_col)
     found = rows.agg(F.expr(f"approx_top_k(_digest, {top_k}, {max_items})").alias("s"))
     heavy = found.select(F.explode("s").alias("e")).filter("e.count > 1").select(F.col("e.item").alias("_heavy"))
@@ -61,8 +64,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows with the same id and text, all stay."""
-    drop = exact_groups(docs, id_col, text_col).filter(~F.col("_kept")).select(
-        F.col("_id").alias("_drop_id")).distinct()
-    drop = save(drop, "exact-copies")
-    return docs.join(broadcast_if_small(drop), docs[id_col].cast("long") == drop["_drop_id"], "left_anti")
+    """The rows of ``docs`` that stay, all columns.
+
+    Rows are dropped by id, text and length, so that rows with one id and different texts
+    are judged each for itself; of rows with the same id and text, all stay or none.
+    """
+    groups = exact_groups(docs, id_col, text_col)
+    drop = save(groups.filter(~F.col("_kept")).select("_id", "_digest", "_n").distinct(), "exact-copies")
+    names = helper_names(docs, "_id", "_digest", "_n")
+    small = drop.saved_rows <= BROADCAST_ROWS
+    drop = F.broadcast(drop.toDF(*names)) if small else drop.toDF(*names)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    # The digest is taken only of rows whose id and length are dropped: a condition on pairs, not a join key.
+    same = docs[id_col].cast("long").eqNullSafe(F.col(names[0])) & (F.char_length(text) == F.col(names[2]))
+    return docs.join(drop, same & F.coalesce(_digest(text) == F.col(names[1]), F.lit(False)), "left_anti")

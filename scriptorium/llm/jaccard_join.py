@@ -33,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, id_text, runs_of, save, text_chunks
+from .common import (BROADCAST_ROWS, broadcast_if_small, components, helper_names, id_text, runs_of, save,
+                     text_chunks)
 from .words import U, Words, mix, shingles
 
 SIZE = 5
@@ -56,6 +57,10 @@ def matched_prefix(threshold: float = THRESHOLD, trees: int = TREES, label: int
     return depth
 
 
+def _word_digest(text: bytes) -> bytes:
+    return hashlib.sha256(b" ".join(text.split())).digest()
+
+
 def _labels(batches, size, trees, label):
     factors = mix(np.arange(1, trees * label + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
     for batch, texts in text_chunks(batches):
@@ -74,7 +79,7 @@ def _labels(batches, size, trees, label):
             labels[k] = row.tobytes()
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), pa.array(words.n, pa.int64()),
-             pa.array([hashlib.sha256(b" ".join(t.split())).digest() for t in texts], pa.binary()),
+             pa.array([_word_digest(t) for t in texts], pa.binary()),
              pa.array(labels, pa.binary())], ["_id", "_words", "_key", "_labels"])
 
 
@@ -98,7 +103,7 @@ def _neighbours(batches, depth, label):
         if not batch.num_rows:
             continue
         tree = batch.column("_tree").to_numpy(zero_copy_only=False)
-        ids = batch.column("_rep").to_numpy(zero_copy_only=False)
+        ids = batch.column("_node").to_numpy(zero_copy_only=False)
         raw = batch.column("_label").to_pylist()
         values = np.frombuffer(b"".join(raw), dtype=np.uint16).reshape(-1, label)
         if before is None:
@@ -119,9 +124,9 @@ def candidate_links(reps: DataFrame, depth: int, trees: int = TREES, label: int
     """``(a, b)``: neighbours in a sorted trie that share ``depth`` values."""
     width = label * _VALUE
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    laid = reps.select("_rep", "_labels", tree.alias("_tree")).select(
-        "_rep", "_tree", F.expr(f"substring(_labels, _tree * {width} + 1, {width})").alias("_label"))
-    order = ["_tree", "_label", "_rep"]
+    laid = reps.select("_node", "_labels", tree.alias("_tree")).select(
+        "_node", "_tree", F.expr(f"substring(_labels, _tree * {width} + 1, {width})").alias("_label"))
+    order = ["_tree", "_label", "_node"]
     found = save(laid.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         lambda b: _neighbours(b, depth, label),
         "kind int, part int, tree int, label binary, a long, b long"), "trie-links")
@@ -176,7 +181,7 @@ def _tiles(batches, size, threshold):
     names = ["_root", "_i", "_j"]
 
     def done():
-        rows = {r["_id"]: r for r in held}  # a repeated row enters once
+        rows = {r["_id"]: r for r in held if _word_digest(r["_text"].encode()) == r["_key"]}  # repeated rows once
         ids = np.array(sorted(rows), dtype=np.int64)
         rows = [rows[i] for i in ids.tolist()]
         side = np.array([r["_i"] != r["_j"] and r["_chunk"] == r["_j"] for r in rows])
@@ -209,58 +214,81 @@ def _tiles(batches, size, threshold):
 
 
 def verified(texts: DataFrame, reps: DataFrame, links: DataFrame, size: int, threshold: float) -> DataFrame:
-    """``(_id, links, near, chunks)`` per text and tile."""
+    """``(_id, links, near, chunks)`` per representative (its ``_node``) and tile."""
     groups = components(links, "candidates")
-    members = save(groups.join(reps, groups["node"] == reps["_rep"]).select(
-        "node", "root", "_copies", "_words"), "members")
+    members = save(groups.join(reps, groups["node"] == reps["_node"]).select(
+        "node", "root", "_rep", "_key", "_copies", "_words"), "members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(
         F.count("*") / CHUNK_TEXTS, F.sum("_words") / CHUNK_WORDS)).cast("int").alias("_chunks"))
     members = save(members.join(sizes, "root").select(
-        F.col("node").alias("_node"), F.col("root").alias("_root"), "_copies", "_chunks",
+        F.col("node").alias("_node"), F.col("root").alias("_root"), "_rep", "_key", "_copies", "_chunks",
         F.pmod(F.xxhash64("node"), "_chunks").cast("int").alias("_chunk")), "chunks")
     other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    rows = texts.join(broadcast_if_small(members), F.col("_id") == F.col("_node")).select(
-        "_id", "_text", "_copies", "_root", "_chunks", "_chunk", other.alias("_o"))
+    # An id may come with several texts: the tile keeps the one whose digest is the member's.
+    rows = texts.join(broadcast_if_small(members), F.col("_id") == F.col("_rep")).select(
+        F.col("_node").alias("_id"), "_text", "_key", "_copies", "_root", "_chunks", "_chunk", other.alias("_o"))
     tile = ["_root", "_i", "_j"]
-    rows = rows.select("_id", "_text", "_copies", "_chunks", "_chunk", "_root",
+    rows = rows.select("_id", "_text", "_key", "_copies", "_chunks", "_chunk", "_root",
                        F.least("_chunk", "_o").alias("_i"), F.greatest("_chunk", "_o").alias("_j"))
     return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(
         lambda b: _tiles(b, size, threshold), "_id long, links long, near long, chunks long")
 
 
-def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, trees: int = TREES,
-                    label: int = LABEL, target: float = TARGET, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """One row per document: ``_id, copy_id, class_id, n_links``.
-
-    ``copy_id`` is the smallest id with the same words, ``class_id`` the smallest id of
-    the connected component, ``n_links`` the number of other documents with a
-    similarity of at least ``threshold`` (copies counted one by one).
-    """
+def _classified(docs: DataFrame, size: int, threshold: float, trees: int, label: int, target: float, id_col: str,
+                text_col: str) -> DataFrame:
+    """``jaccard_classes`` with the word digest ``_key`` of each row."""
     texts = id_text(docs, id_col, text_col)
     rows = save(texts.mapInArrow(lambda b: _labels(b, size, trees, label),
                                  "_id long, _words long, _key binary, _labels binary"), "labels")
     known = rows.filter("_id is not null and _labels is not null")
+    # Texts are nodes under a number of their own: one id may come with several texts.
     reps = save(known.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies"),
-                                          F.first("_words").alias("_words"), F.first("_labels").alias("_labels")),
-                "representatives")
+                                          F.first("_words").alias("_words"), F.first("_labels").alias("_labels"))
+                .withColumn("_node", F.monotonically_increasing_id()), "representatives")
     depth = matched_prefix(threshold, trees, label, target)
     tiles = save(verified(texts, reps, candidate_links(reps, depth, trees, label), size, threshold), "tiles")
     joined = tiles.filter("chunks > 1 and near <> _id").select(F.col("_id").alias("a"), F.col("near").alias("b"))
-    roots = components(joined, "classes").select(F.col("node").alias("_rep"), "root")
-    near = tiles.groupBy(F.col("_id").alias("_rep")).agg(F.sum("links").alias("_links"), F.min("near").alias("_near"))
-    per_rep = reps.select("_key", "_rep", "_copies").join(near, "_rep", "left").join(roots, "_rep", "left").select(
-        "_key", "_rep", F.coalesce("root", "_near", "_rep").alias("_class"),
+    roots = components(joined, "classes").select(F.col("node").alias("_node"), "root")
+    near = tiles.groupBy(F.col("_id").alias("_node")).agg(F.sum("links").alias("_links"), F.min("near").alias("_near"))
+    linked = save(near.join(roots, "_node", "left").join(reps.select("_node", "_rep"), "_node").select(
+        "_node", "_links", "_rep", F.coalesce("root", "_near").alias("_root")), "linked-texts")
+    least = linked.groupBy("_root").agg(F.min("_rep").alias("_least"))
+    named = linked.join(least, "_root").select("_node", "_links", "_least")
+    per_rep = reps.select("_key", "_node", "_rep", "_copies").join(named, "_node", "left").select(
+        "_key", "_rep", F.coalesce("_least", "_rep").alias("_class"),
         (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"))
-    linked = known.select("_id", "_key").join(per_rep, "_key").select(
-        "_id", F.col("_rep").alias("copy_id"), F.col("_class").alias("class_id"), F.col("_n").alias("n_links"))
+    out = known.select("_id", "_key").join(per_rep, "_key").select(
+        "_id", F.col("_rep").alias("copy_id"), F.col("_class").alias("class_id"), F.col("_n").alias("n_links"), "_key")
     alone = rows.filter("_id is null or _labels is null").select(
-        "_id", F.col("_id").alias("copy_id"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.union(alone)
+        "_id", F.col("_id").alias("copy_id"), F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        "_key")
+    return out.union(alone)
+
+
+def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, trees: int = TREES,
+                    label: int = LABEL, target: float = TARGET, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """One row per document: ``_id, copy_id, class_id, n_links``.
+
+    ``copy_id`` is the smallest id with the same words, ``class_id`` the smallest id of
+    the connected component, ``n_links`` the number of other documents with a
+    similarity of at least ``threshold`` (copies counted one by one). Rows with one id and
+    different texts are separate documents here.
+    """
+    return _classified(docs, size, threshold, trees, label, target, id_col, text_col).drop("_key")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: the smallest id of each class."""
-    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col)
-    drop = save(classes.filter("class_id <> _id").select(F.col("_id").alias("_drop_id")).distinct(), "near-copies")
-    return docs.join(broadcast_if_small(drop), docs[id_col].cast("long") == drop["_drop_id"], "left_anti")
+    """The rows of ``docs`` that stay, all columns: the smallest id of each class.
+
+    Rows are dropped by id and words, so that another text under the same id is judged for itself.
+    """
+    classes = _classified(docs, SIZE, THRESHOLD, TREES, LABEL, TARGET, id_col, text_col)
+    drop = save(classes.filter("class_id <> _id").select("_id", "_key").distinct(), "near-copies")
+    names = helper_names(docs, "_id", "_key")
+    words = F.trim(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    # Digests are taken only of rows whose id is dropped: a condition on pairs, not a join key.
+    same = F.coalesce(F.unhex(F.sha2(words.cast("binary"), 256)) == F.col(names[1]), F.lit(False))
+    small = drop.saved_rows <= BROADCAST_ROWS
+    drop = F.broadcast(drop.toDF(*names)) if small else drop.toDF(*names)
+    return docs.join(drop, (docs[id_col].cast("long") == F.col(names[0])) & same, "left_anti")

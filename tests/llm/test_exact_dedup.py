@@ -45,6 +45,17 @@ def test_filter_keeps_one_of_each(table):
     assert 1 in {r.doc_id for r in rows} and 2 in {r.doc_id for r in rows}
 
 
+@pytest.mark.parametrize("rows,want", [
+    ([(1, "a b"), (1, "ab")], [(1, "a b")]), ([(1, "A"), (2, "A"), (2, "B")], [(1, "A"), (2, "B")]),
+    ([(None, "A"), (2, "A"), (None, "B"), (None, None), (3, "")], [(2, "A"), (None, "B"), (3, "")]),
+    ([(1, "A"), (1, "A"), (2, "A")], [(1, "A"), (1, "A")])])
+def test_filter_judges_texts_under_one_id_apart(table, rows, want):
+    docs = table(rows).selectExpr("*", "doc_id as _id", "'x' as _digest", "5 as _n")
+    out = ed.exact_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_and_native(table):
     empty = table([])
     assert ed.exact_groups(empty).collect() == [] and ed.exact_dedup(empty).collect() == []

@@ -76,6 +76,20 @@ def test_against_brute_force(table, monkeypatch):
     assert kept == {c for i, c, _ in want}
 
 
+def test_texts_under_one_id_are_apart(table):
+    r = random.Random(3)
+    near, far = family(r, 0, 3, 200, 1), family(r, 0, 2, 60, 40)
+    a, b, c = (t for _, t in near)
+    rows = [(1, a), (2, b), (2, far[0][1]), (3, far[1][1]), (4, far[0][1]), (3, "one"), (5, "one"), (2, c), (5, None)]
+    docs = table(rows).selectExpr("*", "doc_id as _id", "'x' as _key")
+    out = jj.near_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted(
+        [(1, a), (2, far[0][1]), (3, far[1][1]), (3, "one"), (5, None)], key=str)
+    assert sorted((x.doc_id, x.text) for x in jj.near_dedup(table([(1, "A"), (2, "A"), (2, "B")])).collect()) == [
+        (1, "A"), (2, "B")]
+
+
 def test_empty(table):
     assert got(jj.jaccard_classes(table([]))) == []
 
