@@ -13,7 +13,8 @@ On a page the wrapper says what is template, also inside ``article`` and ``main`
 block whose texts stand at the same place on every page of the host that has the place,
 on ``EVIDENCE`` pages at least that differ in their ``LONGEST`` longest other texts (so
 versions of one article that differ in short texts are no evidence); texts of repeated parts are held against each other as
-sets. Outside an article, a fixed text of a part that is not repeated is template too.
+sets. A heading over text of the page's own is no template there, though every page has it.
+Outside an article, a fixed text of a part that is not repeated is template too.
 The main text is what stands in ``article`` elements, else in ``main`` (or an element
 named like these), else in the body, without the template and without the parts that
 their tag, role, class or id marks as menu, header, footer, sidebar, notice, advert,
@@ -70,35 +71,61 @@ DROPPED_STARTS = ("comment", "advert", "cookie", "sidebar", "newsletter", "bread
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_NAMES = frozenset("content article post entry story main maincontent articlebody".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
+def _tag_end(page: str, at: int, broken: set[int]) -> int:
+    """The place of the ``>`` that ends the tag whose name ends at ``at``; -1 if there is none.
+
+    Quoted values may hold a ``>``. Where the quotes leave no end, the first ``>`` counts;
+    ``broken`` remembers the opening quotes from which that is known, so that a page of
+    such tags is still read in one go.
+    """
+    i, opened = at, []
+    while (m := _STOP.search(page, i)) is not None:
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end()) if m.start() not in broken else -1
+        opened.append(m.start())
+        if close < 0:
+            break
+        i = close + 1
+    broken.update(opened)
+    return page.find(">", at) if opened else -1
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name or text, attributes)`` with kinds text, start and end; raw elements are skipped."""
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            if at < len(page):
-                yield "text", page[at:], ""
-            return
-        if m.start() > at:
-            yield "text", page[at:m.start()], ""
+    at, start, broken, last = 0, 0, set(), page.rfind(">")
+    while (m := _OPEN.search(page, at)) is not None:
         at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
+        name = (m[4] or "").lower()
         if m[1]:
+            end = page.find("-->", at)
+            end = end + 3 if end >= 0 else len(page)
+        elif m[2]:
+            end = page.find(">", at) + 1 or len(page)
+        else:
+            end = _tag_end(page, at, broken) + 1 if at <= last else 0
+            if not end:  # no tag: text
+                continue
+        if m.start() > start:
+            yield "text", page[start:m.start()], ""
+        if m[3]:
             yield "end", name, ""
-        elif name in RAW and not m[3].endswith("/"):
-            end = _END[name].search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in RAW:
-            yield "start", name, m[3]
+        elif name in RAW:
+            if page[end - 2:end] != "/>":
+                close = _END[name].search(page, end)
+                end = close.end() if close else len(page)
+        elif name:
+            yield "start", name, page[at:end - 1]
+        at = start = end
+    if start < len(page):
+        yield "text", page[start:], ""
 
 
 def marks(name: str, attributes: str) -> tuple[str, bool, bool]:
@@ -302,14 +329,15 @@ def expression(wrapper: dict) -> str:
 def main_text(page: str | None, wrapper: dict | None = None) -> str:
     """The main text of a page of the host that ``wrapper`` describes."""
     reader = Reader()
-    blocks: list[tuple[int, bool, bool, str]] = []  # (rank, fixed, shared, text); rank 0: article, 1: main, 2: other
+    blocks: list[tuple] = []  # (rank, fixed, shared, heading, text); rank 0: article, 1: main, 2: other
     run: list[str] = []
-    state = {"rank": 2, "drop": False, "node": wrapper, "fixed": True, "shared": True}
+    state = {"rank": 2, "drop": False, "node": wrapper, "heading": False, "fixed": True, "shared": True}
+    kept_by_stack = ("rank", "drop", "node", "heading")
 
     def flush():
         text = " ".join(htmllib.unescape("".join(run)).split())
         if text and not state["drop"]:
-            blocks.append((state["rank"], state["fixed"], state["shared"], text))
+            blocks.append((state["rank"], state["fixed"], state["shared"], state["heading"], text))
         run.clear()
         state["fixed"] = state["shared"] = True
 
@@ -320,7 +348,7 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
                 flush()
             elif before["drop"] != state["drop"] and state["drop"]:
                 run[:] = before["run"]  # an inline part that is dropped
-            state.update({k: before[k] for k in ("rank", "drop", "node")})
+            state.update({k: before[k] for k in kept_by_stack})
 
     for kind, what, attributes in tokens(page or ""):
         if kind == "text":
@@ -339,7 +367,7 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
                 run.append(" ")
                 continue
             signature, drop, main = marks(what, attributes)
-            reader.stack.append((what, {k: state[k] for k in ("rank", "drop", "node")} | {"run": list(run)
+            reader.stack.append((what, {k: state[k] for k in kept_by_stack} | {"run": list(run)
                                  if drop and what not in BLOCKS else ()}))
             rank = state["rank"]
             if not state["drop"] and not drop:
@@ -350,7 +378,8 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
             if what in HEADINGS and rank == 0 and state["drop"] and _in_header(reader.stack):
                 state["drop"] = drop = False
             kids = (state["node"] or {}).get("kids", {})
-            state.update(rank=rank, drop=state["drop"] or drop, node=kids.get(signature))
+            state.update(rank=rank, drop=state["drop"] or drop, node=kids.get(signature),
+                         heading=state["heading"] or what in HEADINGS)
         else:
             close(reader.end(what))
     flush()
@@ -358,8 +387,16 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
         return ""
     rank = min(b[0] for b in blocks)
     chosen = [b for b in blocks if b[0] == rank]
-    own = [b for b in chosen if not (b[2] or rank == 2 and b[1])]
-    return "\n".join(b[3] for b in own or chosen)
+    template = [b[2] or rank == 2 and b[1] for b in chosen]
+    told = False  # whether what follows, up to the next heading, holds text of this page's own
+    for n in range(len(chosen) - 1, -1, -1):
+        if chosen[n][3]:
+            template[n] &= rank == 2 or not told
+            told = False
+        else:
+            told |= not template[n]
+    own = [b for b, gone in zip(chosen, template, strict=True) if not gone]
+    return "\n".join(b[4] for b in own or chosen)
 
 
 def _in_header(stack) -> bool:

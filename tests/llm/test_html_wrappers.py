@@ -94,6 +94,38 @@ def test_template_text_goes_inside_articles(spark):
                 assert text == ["H", f"text {n - 200}"]
 
 
+def test_headings_of_a_host_stay_over_own_text(spark):
+    """Sections named alike on all pages are content; a heading over template lines goes with them."""
+    rows = [(n, f"http://h.example/{n}", f"<article><h1>Land {n}</h1><h2>History</h2><p>founded {n}</p><h2>Economy</h2>"
+             f"<p>trade {n}</p><p>goods {n}</p><h3>About us</h3><p class=zq>We write of lands</p></article>") for n in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in hw.extract(pages).collect():
+        n = r._page
+        assert r.text == f"Land {n}\nHistory\nfounded {n}\nEconomy\ntrade {n}\ngoods {n}"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<p><a title="foo>bar</a> next</p>', "bar next"), ("<p>a <b title='x>y</p><p>z</p>", "a y\nz"),
+    ('<p title="a>b" lang=\'c>d\'>q</p>', "q"), ('<p>x <a href="u" title="v">y</a></p>', "x y"),
+    ("<p>1 < 2 <3 <é</p>", "1 < 2 <3 <é"), ("<p>x<a", "x<a"), ("<p>x<a b='c", "x<a b='c"), ("<br/>a<script/>b", "ab")])
+def test_quotes_and_broken_tags(page, text):
+    assert hw.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a b ", '<a b="', '<a ">" ', "<a '\"> ", "<", "<!", "<p \"'>", "</a '"])
+def test_time_is_linear_in_broken_tags(part):
+    import time
+
+    def seconds(size):
+        page = part * (size // len(part))
+        start = time.perf_counter()
+        for _ in hw.tokens(page):
+            pass
+        return time.perf_counter() - start
+
+    assert seconds(1_000_000) < 100 * max(seconds(50_000), 0.01)  # 20 times the size: 400 if quadratic
+
+
 def test_wrapper_survives_packing():
     page = "<div>" * 5000 + "deep" + "x" * 300
     w = hw.page_wrapper(page)
