@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .retrieve import (DEFAULT_BROADCAST_BYTES, _arrow_type, _collect_block, _make_kernel, rank_within,
-                       retrieve_top_k)
+from .retrieve import _arrow_type, _collect_block, _make_kernel, rank_within, retrieve_top_k
 
 BLOCK_BYTES = 1 << 20
+# Bytes of request vectors and places that are broadcast.
+DEFAULT_BROADCAST_BYTES = 128 << 20
 MAX_LEADERS = 4096
 _BLOCK = "block long, n int, ids binary, vectors binary, centre binary, radius double"
 
