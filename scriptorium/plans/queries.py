@@ -23,6 +23,7 @@ from ..sources import articles as src
 from ..sources import config as cfg
 from ..sources import layout
 from ..sources import tables
+from ..sources.files import write_files
 from ..session import materialize, scratch_path
 from . import pipeline as pl
 
@@ -315,11 +316,10 @@ def q30_parse_articles(spark, sf):
 def q31_scan_xml_files(spark, sf):
     """S1 from files: every document is written as an XML file of its own, then all are scanned."""
     folder = scratch_path(spark, "article-files")
-    # The text writer for delimited rows is the one that lets the file extension be chosen. Line ends
-    # and quotes are written as references, so that a file holds the XML alone.
+    # Line ends and quotes are written as references, so that any writer's file holds the XML alone.
     xml = _article_xml([("&", "amp"), ("<", "lt"), ('"', "quot"), ("\n", "#10"), ("\r", "#13")])
     docs = tables.spread(_t(spark, sf, "documents").select("doc_id", xml.alias("xml")))
-    docs.write.partitionBy("doc_id").option("extension", "xml").option("sep", "\x01").csv(folder)
+    write_files(docs, folder, "doc_id", "xml", "xml")
     scan = src.scan_articles(spark, folder)
 
     def doc_id(path):

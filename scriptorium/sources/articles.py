@@ -15,6 +15,7 @@ Text never enters the range exchange, and no step pulls a partition into one tas
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import broadcast_within, materialize, scratch_path
+from ..session import broadcast_within, materialize, scratch_path, small_batches
 from .files import Folder
 
 RUNS_SCHEMA = T.StructType([
@@ -50,6 +51,11 @@ PARSED_SCHEMA = T.StructType([
 
 DATA_TYPES = ("dataset", "embeddings")
 
+#: What opening a small file counts, in bytes read.
+OPEN_BYTES = 64 << 10
+#: Bytes of documents that are parsed before their runs leave a task.
+PARSE_BYTES = 4 << 20
+
 
 @dataclass
 class ScanResult:
@@ -71,25 +77,38 @@ def parse_documents(docs: DataFrame, keep: list[str] | None = None,
     keep_fields = [docs.schema[c] for c in keep]
     out_schema = T.StructType(keep_fields + list(RUNS_SCHEMA.fields))
 
+    most = PARSE_BYTES
+
+    def parsed(batch, pa):
+        runs_cols = {f: [] for f in fields}
+        errors = []
+        for data in batch.column(content_col):
+            runs, err = parse(data.as_py() or b"")
+            errors.append(err)
+            for f in fields:
+                runs_cols[f].append(runs[f] if runs else None)
+        arrays = [batch.column(c) for c in keep] + [batch.column(path_col)]
+        arrays += [pa.array(runs_cols[f], pa.list_(pa.string())) for f in fields]
+        arrays.append(pa.array(errors, pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, names=keep + ["path", *fields, "error"])
+
     def fn(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            contents = batch.column(content_col).to_pylist()
-            runs_cols = {f: [] for f in fields}
-            errors = []
-            for data in contents:
-                runs, err = parse(data or b"")
-                errors.append(err)
-                for f in fields:
-                    runs_cols[f].append(runs[f] if runs else None)
-            arrays = [batch.column(c) for c in keep] + [batch.column(path_col)]
-            arrays += [pa.array(runs_cols[f], pa.list_(pa.string())) for f in fields]
-            arrays.append(pa.array(errors, pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=keep + ["path", *fields, "error"])
-
-    return docs.select(*keep, F.col(path_col).alias("path"), F.col(content_col)).mapInArrow(
-        fn, out_schema)
+            sizes = pc.fill_null(pc.binary_length(batch.column(content_col)), 0).to_pylist()
+            start = 0
+            while start < batch.num_rows:
+                stop, held = start, 0
+                while stop < batch.num_rows and (stop == start or held + sizes[stop] <= most):
+                    held += sizes[stop]
+                    stop += 1
+                yield parsed(batch.slice(start, stop - start), pa)
+                start = stop
+
+    taken = docs.select(*keep, F.col(path_col).alias("path"), F.col(content_col))
+    return small_batches(taken).mapInArrow(fn, out_schema)
 
 
 def finish_runs(runs: DataFrame) -> DataFrame:
@@ -131,19 +150,39 @@ def file_limit(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
 
 
-def read_xml_files(spark: SparkSession, source: str, max_bytes: int | None = None) -> DataFrame:
-    """``(path, content)`` of the files of at most ``max_bytes`` (default: what ``binaryFile`` reads)."""
+def read_xml_files(spark: SparkSession, source: str, max_bytes: int | None = None,
+                   listed: DataFrame | None = None) -> DataFrame:
+    """``(path, content)`` of the files of at most ``max_bytes`` (default: what ``binaryFile`` reads).
+
+    ``listed`` is ``list_xml_files(spark, source)`` where that was done before: listing takes long.
+    """
     limit = file_limit(spark) if max_bytes is None else max_bytes
-    return list_xml_files(spark, source).filter(F.col("length") <= limit).select("path", "content")
+    return (list_xml_files(spark, source) if listed is None else listed).filter(F.col("length") <= limit).select("path", "content")
 
 
-def oversized_files(spark: SparkSession, source: str, max_bytes: int | None = None) -> DataFrame:
+def oversized_files(spark: SparkSession, source: str, max_bytes: int | None = None,
+                    listed: DataFrame | None = None) -> DataFrame:
     """``(path, reason)`` of the files above the limit; found in the listing, never read."""
     limit = file_limit(spark) if max_bytes is None else max_bytes
-    return list_xml_files(spark, source).filter(F.col("length") > limit).select(
+    return (list_xml_files(spark, source) if listed is None else listed).filter(F.col("length") > limit).select(
         "path", F.format_string("too long: %d bytes, at most %d are read", F.col("length"), F.lit(limit)).alias("reason"))
 
 
+@contextmanager
+def small_files(spark: SparkSession):
+    """A file counts ``OPEN_BYTES`` more than it holds when scans are split in this block (Spark: 4 MB).
+
+    With 4 MB, 32 files make a task however small they are, and starting tasks takes longer than reading.
+    """
+    name = "spark.sql.files.openCostInBytes"
+    prior = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, prior)
+
+
 def assign_ids(df: DataFrame, order_cols: list[str], id_col: str = "corpus_id",
                partitions: int | None = None) -> DataFrame:
     """Dense ids 0..n-1 in the order of ``order_cols``, computed in parallel.
@@ -189,12 +228,14 @@ def scan_articles(spark: SparkSession, source: str, materialize_to: str | None =
     A file of more than ``max_file_bytes`` is a reject, like a malformed one.
     """
     path = materialize_to or scratch_path(spark, "xml-parsed")
-    done = finish_runs(parse_documents(read_xml_files(spark, source, max_file_bytes)))
-    done.select(*PARSED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path)
+    listed = list_xml_files(spark, source)
+    done = finish_runs(parse_documents(read_xml_files(spark, source, max_file_bytes, listed)))
+    with small_files(spark):
+        done.select(*PARSED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path)
+        too_long = materialize(oversized_files(spark, source, max_file_bytes, listed), "too-long")
     parsed = spark.read.schema(PARSED_SCHEMA).parquet(path)
     good = parsed.filter(F.col("reason").isNull())
-    rejects = parsed.filter(F.col("reason").isNotNull()).select("path", "reason").unionByName(
-        oversized_files(spark, source, max_file_bytes))
+    rejects = parsed.filter(F.col("reason").isNotNull()).select("path", "reason").unionByName(too_long)
     articles = number_articles(good).select(*CORPUS_SCHEMA.fieldNames())
     return ScanResult(parsed=parsed, articles=articles, rejects=rejects)
 

@@ -9,7 +9,13 @@ from __future__ import annotations
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import small_batches
+
+#: Files that ``write_files`` puts into one folder.
+FOLDER_FILES = 4096
 
 
 class Folder:
@@ -80,3 +86,42 @@ class Folder:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
+
+
+def write_files(rows: DataFrame, folder: str, key: str, content: str, extension: str) -> None:
+    """Every row's string ``content`` and a line end as a file of its own below ``folder``, ``key=<value>`` in its path.
+
+    On a file system that is mounted (``file:``) the tasks write the files themselves: Spark's writer starts
+    processes to set the permissions of each file there. A file appears by a rename under a name
+    that a second attempt of its task uses again. Elsewhere Spark writes them; for that, the content must
+    hold no quotes, line ends and ``\\x01``.
+    """
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if uri.getScheme() != "file":
+        rows.select(key, content).write.partitionBy(key).option("extension", extension).option("sep", "\x01").csv(folder)
+        return
+    root, per_folder = uri.getPath(), FOLDER_FILES
+
+    def fn(batches):
+        import os
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for value, data in zip(*(batch.column(c).to_pylist() for c in ("key", "content"))):
+                place = f"{root}/{task}-{n // per_folder}"
+                if n % per_folder == 0:
+                    os.makedirs(place, exist_ok=True)
+                part = f"{place}/.{n}.{os.getpid()}.part"
+                with open(part, "wb") as out:
+                    out.write((data or b"") + b"\n")
+                os.replace(part, f"{place}/{key}={value}-{n}.{extension}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    written = small_batches(rows.select(F.col(key).cast("string").alias("key"), F.encode(content, "UTF-8").alias("content")))
+    written.mapInArrow(fn, "n long").agg(F.sum("n")).first()
