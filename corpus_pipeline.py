@@ -18,8 +18,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model rejects go."""
-    return quality.quality_filter(docs, _table(spark, sf_dir, "labels"))
+    """Documents that the language model, of all their characters, rejects go."""
+    return quality.quality_filter(docs, _table(spark, sf_dir, "labels"), every=True)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

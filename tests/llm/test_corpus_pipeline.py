@@ -44,3 +44,18 @@ def test_stages_keep_columns_and_empty_tables(spark):
         out = stage(spark, docs, SF01)
         assert out.columns == docs.columns and out.collect() == []
     assert cp.encode_stage(spark, docs, SF01).collect() == []
+
+
+def test_quality_stage_tells_letters_of_any_script(spark, tmp_path):
+    """Every letter but the Latin ones was one symbol, so that junk in them looked like text."""
+    words = {"ru": "быстрая коричневая лиса прыгает через ленивую собаку".split(),
+             "el": "η γρήγορη καφέ αλεπού πηδάει πάνω από τον σκύλο".split()}
+    rows = [(100 * k + n, " ".join(own[(n * (j + 3) + j * j) % len(own)] for j in range(25 + n % 7)), lang)
+            for k, (lang, own) in enumerate(words.items()) for n in range(40)]
+    junk = [(1000 + k, " ".join("".join(chr(base + (7 * i * i + j * 13 + k) % 24) for j in range(len(w)))
+                                for i, w in enumerate(rows[40 * k][1].split())), lang)
+            for k, (lang, base) in enumerate((("ru", 0x0430), ("el", 0x03B1)))]
+    spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    assert sorted(map(tuple, cp.quality_stage(spark, docs, str(tmp_path)).collect())) == sorted(rows)
