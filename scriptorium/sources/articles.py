@@ -2,7 +2,7 @@
 
 S1 ingest plan::
 
-    binaryFile scan (recursive, *.xml)            -- one row per file, split by Spark
+    binaryFile scan (recursive, *.xml)            -- one row per file, split by Spark; a group of folders at a time
       -> files over the size limit to the rejects   -- from the listing, unread
       -> mapInArrow: E1 text runs per file          -- per-row Python helper
       -> E3 join_runs / E4 require_fields           -- built-in expressions
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import broadcast_within, materialize, scratch_path, small_batches
-from .files import Folder
+from .files import Folder, folder_groups
 
 RUNS_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -136,8 +136,8 @@ def _parse_runs_factory():
     return xml_runs.parse_runs
 
 
-def list_xml_files(spark: SparkSession, source: str) -> DataFrame:
-    """Every ``*.xml`` file below ``source`` (recursive): ``path, length, content``."""
+def list_xml_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """Every ``*.xml`` file below ``source``, one path or several (recursive): ``path, length, content``."""
     return (spark.read.format("binaryFile")
             .option("recursiveFileLookup", "true")
             .option("pathGlobFilter", "*.xml")
@@ -225,17 +225,23 @@ def scan_articles(spark: SparkSession, source: str, materialize_to: str | None =
 
     The parse runs once: its output is written (to ``materialize_to`` or a
     folder below the shared checkpoint directory) and both outputs read it.
-    A file of more than ``max_file_bytes`` is a reject, like a malformed one.
+    A file of more than ``max_file_bytes`` is a reject, like a malformed one. The driver
+    holds the listing of a group of folders at a time, not that of all files.
     """
-    path = materialize_to or scratch_path(spark, "xml-parsed")
-    listed = list_xml_files(spark, source)
-    done = finish_runs(parse_documents(read_xml_files(spark, source, max_file_bytes, listed)))
-    with small_files(spark):
-        done.select(*PARSED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path)
-        too_long = materialize(oversized_files(spark, source, max_file_bytes, listed), "too-long")
+    path, long_path = materialize_to or scratch_path(spark, "xml-parsed"), scratch_path(spark, "too-long")
+    mode = "overwrite"
+    for group in folder_groups(spark, source, ".xml"):
+        listed = list_xml_files(spark, group)
+        done = finish_runs(parse_documents(read_xml_files(spark, source, max_file_bytes, listed)))
+        with small_files(spark):
+            done.select(*PARSED_SCHEMA.fieldNames()).write.mode(mode).parquet(path)
+            too_long = oversized_files(spark, source, max_file_bytes, listed)
+            too_long.write.mode(mode).parquet(long_path)
+        mode = "append"
     parsed = spark.read.schema(PARSED_SCHEMA).parquet(path)
     good = parsed.filter(F.col("reason").isNull())
-    rejects = parsed.filter(F.col("reason").isNotNull()).select("path", "reason").unionByName(too_long)
+    rejects = parsed.filter(F.col("reason").isNotNull()).select("path", "reason").unionByName(
+        spark.read.schema(too_long.schema).parquet(long_path))
     articles = number_articles(good).select(*CORPUS_SCHEMA.fieldNames())
     return ScanResult(parsed=parsed, articles=articles, rejects=rejects)
 

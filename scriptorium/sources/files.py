@@ -16,6 +16,8 @@ from ..session import small_batches
 
 #: Files that ``write_files`` puts into one folder.
 FOLDER_FILES = 4096
+#: Files that the driver lists at a time, as far as the folders are that small.
+LISTED_FILES = 1 << 15
 
 
 class Folder:
@@ -88,6 +90,57 @@ class Folder:
         self._fs.delete(self._at(name), True)
 
 
+def _escaped(path: str) -> str:
+    """``path`` as a pattern that only it fits."""
+    return "".join(f"\\{c}" if c in "\\{}[]*?," else c for c in path)
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's own listing leaves out."""
+    return name[0] == "." or (name[0] == "_" and "=" not in name) or name.endswith("._COPYING_")
+
+
+def folder_groups(spark: SparkSession, source: str, extension: str) -> list[list[str]]:
+    """The files below the folder ``source`` in groups of paths to load, about ``LISTED_FILES`` files each.
+
+    A path is a folder, with all below it, or a file with the ``extension`` that lies beside folders. The driver
+    counts a folder's files without holding them. A folder without folders in it is never split. ``[[source]]``
+    where there is no need to split, or where ``source`` is a pattern or no folder.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def split(at) -> bool:
+        size = fs.getContentSummary(at)
+        return size.getFileCount() > LISTED_FILES and size.getDirectoryCount() > 1
+
+    if any(c in source for c in "{}[]*?\\") or not fs.exists(path(source)) or not split(path(source)):
+        return [[source]]
+    found, todo = [], [path(source)]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            at = status.getPath()
+            if _hidden(at.getName()):
+                continue
+            if not status.isDirectory():
+                if at.getName().endswith(extension):
+                    found.append((1, _escaped(at.toString())))
+                continue
+            size = fs.getContentSummary(at)
+            if size.getFileCount() > LISTED_FILES and size.getDirectoryCount() > 1:
+                todo.append(at)
+            elif size.getFileCount():
+                found.append((size.getFileCount(), _escaped(at.toString())))
+    groups, held = [], 0
+    for files, at in found:
+        if not groups or held + files > LISTED_FILES:
+            groups.append([])
+            held = 0
+        groups[-1].append(at)
+        held += files
+    return groups or [[source]]
+
+
 def write_files(rows: DataFrame, folder: str, key: str, content: str, extension: str) -> None:
     """Every row's string ``content`` and a line end as a file of its own below ``folder``, ``key=<value>`` in its path.
 

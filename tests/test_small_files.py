@@ -35,3 +35,29 @@ def test_runs_leave_in_small_batches(spark, monkeypatch):
     assert runs.count() == 21 and runs.filter("error is null").count() == 20
     assert {r.path for r in runs.collect()} == {*map(str, range(20)), "n"}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (str(8 << 20), f"{8 << 20}b")
+
+
+def test_the_driver_lists_a_group_of_folders_at_a_time(spark, tmp_path, monkeypatch):
+    xml = "<article><article-id>P{}</article-id><title-group><article-title>t</article-title></title-group><abstract>a</abstract><body>b</body></article>"
+    root = tmp_path / "x"
+    places = ["a/0", "a/1", "a [2],{3}", "b/c/0", "b/c/1", "", "b", "_hidden", ".hidden", "k=1"]
+    for p, place in enumerate(places):
+        (root / place).mkdir(parents=True, exist_ok=True)
+        for i in range(6):
+            (root / place / f"{p}-{i}.xml").write_text(xml.format(f"{p}-{i}") if i else "<broken" + "x" * 1000 * (p % 2))
+        (root / place / "note.txt").write_text("no article")
+    whole = src.scan_articles(spark, str(root), max_file_bytes=900)
+    seen, listing = [], src.list_xml_files
+
+    def listed(session, source):
+        out = listing(session, source)
+        seen.append(out.count())
+        return out
+    monkeypatch.setattr(src, "list_xml_files", listed)
+    monkeypatch.setattr(files, "LISTED_FILES", 15)
+    scan = src.scan_articles(spark, str(root), max_file_bytes=900)
+    assert max(seen) <= 15 and sum(seen) == 48 and len(seen) > 3
+    for one, other in ((scan.articles, whole.articles), (scan.rejects, whole.rejects), (scan.parsed, whole.parsed)):
+        assert one.columns == other.columns and one.count() > 0
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    assert scan.articles.count() == 40 and scan.rejects.count() == 8
